@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from folioscope.operators import logparse
+from folioscope.plans import core
 from folioscope.sources.tables import table
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "validate_char_count"
 
 
 def p1_found(spark, d):
@@ -13,12 +16,12 @@ def p1_found(spark, d):
 
 
 def p1_templates(spark, d):
-    return logparse.templates(table(spark, d, "log_line")).groupBy("template", "layout").agg({"n": "sum"}).withColumnRenamed("sum(n)", "lines")
+    return logparse.templates(table(spark, d, "log_line")).groupBy("template", "layout").agg(F.sum("n").alias("lines"))
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_templates)}
+    return dict(core.QUERIES) | {f.__name__: f for f in (p1_found, p1_templates)}
 
 
 def oracle_sql():
-    return {}
+    return dict(core.SQL)
