@@ -21,6 +21,16 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
+def stripped(x: Column) -> Column:
+    """Without any white space at the ends."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def comparable(x: Column) -> Column:
     """Collapsed and lower-cased; null is ''."""
     return F.lower(collapse(F.coalesce(x, F.lit(""))))
@@ -131,15 +141,24 @@ def rewrapped(text: Column, budgets: Column, count: Column, expansion: float, ex
         lambda k: F.greatest(F.lit(4), F.floor(F.element_at(budgets, F.least(k, F.size(budgets))) * F.lit(expansion)).cast("int")),
     )
 
-    def put(s: Column, w: Column) -> Column:
-        line = F.element_at(s["lines"], -1)
-        fits = (F.length(line) + 1 + F.length(w) <= F.element_at(room, F.size(s["lines"]))) | (F.size(s["lines"]) >= count)
-        return F.struct(
-            F.when(line == "", F.concat(F.slice(s["lines"], 1, F.size(s["lines"]) - 1), F.array(w)))
-            .when(fits, F.concat(F.slice(s["lines"], 1, F.size(s["lines"]) - 1), F.array(F.concat(line, F.lit(" "), w))))
-            .otherwise(F.concat(s["lines"], F.array(w))).alias("lines")
-        )
-
-    lines = F.aggregate(ws, F.struct(F.array(F.lit("")).alias("lines")), put, lambda s: s["lines"])
-    full = F.concat(lines, F.array_repeat(F.lit(""), F.greatest(count - F.size(lines), F.lit(0)).cast("int"))) if exact else F.filter(lines, lambda x: x != "")
-    return F.when((F.size(ws) == 0) | (count <= 1), F.trim(text)).otherwise(F.array_join(full, "\n"))
+    def wrapped(words: Column, room: Column) -> Column:
+        def put(s: Column, w: Column) -> Column:
+            def placed(line: Column) -> Column:
+                same = F.slice(s, 1, F.size(s) - 1)
+                fits = (F.length(line) + 1 + F.length(w) <= F.element_at(room, F.size(s))) | (F.size(s) >= count)
+                return F.when(line == "", F.concat(same, F.array(w))).when(fits, F.concat(same, F.array(F.concat(line, F.lit(" "), w)))).otherwise(F.concat(s, F.array(w)))
+
+            return let(F.element_at(s, -1), placed)
+
+        return F.aggregate(words, F.array(F.lit("")), put)
+
+    def full(lines: Column) -> Column:
+        if exact:
+            return F.concat(lines, F.array_repeat(F.lit(""), F.greatest(count - F.size(lines), F.lit(0)).cast("int")))
+        return F.filter(lines, lambda x: x != "")
+
+    def shaped(words: Column) -> Column:
+        lines = let(room, lambda r: wrapped(words, r))
+        return F.when((F.size(words) == 0) | (count <= 1), F.trim(text)).otherwise(F.array_join(let(lines, full), "\n"))
+
+    return let(ws, shaped)

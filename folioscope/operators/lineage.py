@@ -49,10 +49,10 @@ def _last(f: DataFrame) -> DataFrame:
 
 def timings(lines: DataFrame) -> DataFrame:
     """log_id, source, seconds between a source's opening and the next save; the last save of a source holds."""
-    opened = F.when(F.col("kind") == "open", F.concat(F.unix_micros("ts").cast("string"), F.lit("|"), "name"))
+    opened = F.when(F.col("kind") == "open", F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit("|"), "name"))
     f = _filled(lines, opened).where("kind = 'saved' and last is not null")
     start = F.substring_index("last", "|", 1).cast("long")
-    f = f.select("log_id", F.regexp_replace("last", r"^\d+\|", "").alias("source"), "line_no", ((F.unix_micros("ts") - start) / 1e6).alias("seconds"))
+    f = f.select("log_id", F.regexp_replace("last", r"^\d+\|", "").alias("source"), "line_no", ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / 1e6).alias("seconds"))
     return f.groupBy("log_id", "source").agg(F.max_by("seconds", "line_no").alias("seconds"))
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import collapse, table_like
-from folioscope.session import broadcast_if_small  # noqa: F401
+from folioscope.functions.text import collapse, stripped, table_like
 
 PAGE = ["doc_id", "page"]
 
@@ -85,10 +84,10 @@ def ocr_entries(results: DataFrame) -> DataFrame:
     results: entry_id, points (array of struct(x, y)), original, translated.
     """
     x0, y0, x1, y1 = as_box(F.col("points"))
-    t = F.trim(F.coalesce("translated", F.lit("")))
+    t = stripped(F.coalesce("translated", F.lit("")))
     e = results.select("entry_id", "original", t.alias("translated"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    e = e.where((t != "") & (t != F.trim(F.coalesce("original", F.lit("")))) & (F.col("x1") - F.col("x0") >= 5) & (F.col("y1") - F.col("y0") >= 5))
-    return e.withColumn("source_line_count", F.greatest(F.lit(1), F.size(F.filter(F.split("original", "\n"), lambda x: F.trim(x) != ""))).cast("long"))
+    e = e.where((t != "") & (t != stripped(F.coalesce("original", F.lit("")))) & (F.col("x1") - F.col("x0") >= 5) & (F.col("y1") - F.col("y0") >= 5))
+    return e.withColumn("source_line_count", F.greatest(F.lit(1), F.size(F.filter(F.split("original", "\n"), lambda x: stripped(x) != ""))).cast("long"))
 
 
 def line_height_ratio(bs: DataFrame, size: str = "size") -> DataFrame:

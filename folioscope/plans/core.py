@@ -265,7 +265,7 @@ def text_over_image(s, d):
 
 
 GRID = BLOCKS.replace("blocks AS", "blocks0 AS") + """, blocks AS (SELECT * REPLACE (36.0 + 180 * (block_no % 3) AS x0, 72.0 + 20 * (block_no // 3) + 40 * (block_no // 9) AS y0,
- 196.0 + 180 * (block_no % 3) AS x1, 84.0 + 20 * (block_no // 3) + 40 * (block_no // 9) AS y1) FROM blocks0 WHERE side = 'orig' OR block_no % 5 < 4)"""
+ 196.0 + 180 * (block_no % 3) AS x1, 84.0 + 20 * (block_no // 3) + 40 * (block_no // 9) AS y1) FROM blocks0 WHERE side = 'orig' OR block_no % 9 <> 8)"""
 
 
 def grid(s, d):
@@ -273,7 +273,7 @@ def grid(s, d):
     row, part = F.floor(F.col("block_no") / 3), F.floor(F.col("block_no") / 9)
     x = F.lit(36.0) + F.lit(180) * (F.col("block_no") % 3)
     y = F.lit(72.0) + row * 20 + part * 40
-    b = blocks_df(s, d).where("side = 'orig' or block_no % 5 < 4")
+    b = blocks_df(s, d).where("side = 'orig' or block_no % 9 <> 8")
     return b.withColumns({"x0": x, "y0": y, "x1": x + 160, "y1": y + 12})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import logparse
-from folioscope.plans import core
+from folioscope.plans import core, flow
 from folioscope.sources.tables import table
 
 FLAGSHIP = "validate_char_count"
@@ -20,7 +20,7 @@ def p1_templates(spark, d):
 
 
 def queries():
-    return dict(core.QUERIES) | {f.__name__: f for f in (p1_found, p1_templates)}
+    return dict(flow.QUERIES) | {f.__name__: f for f in (p1_found, p1_templates)}
 
 
 def oracle_sql():
