@@ -20,17 +20,18 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.canon import canonical_points, code_points
 from folioscope.llm.sentences import units_of
+from folioscope.sources.tables import once_by_id
 
 #: Buckets of hashed n-grams, n-gram lengths, centroids per language.
-DIMS, GRAMS, CLUSTERS = 32768, (1, 2, 3, 4), 3
+DIMS, GRAMS, CLUSTERS = 16384, (2, 3), 2
 #: Labelled texts per language that the classifier is fitted on, and characters and paragraphs of them.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_PARTS = 300, 2000, 500
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_PARTS = 300, 2000, 300
 #: Cosine under which a text has no language.
 REJECT = 0.12
 #: Letters under which a text has no language; a letter of a script without spaces counts as four.
 LETTERS = 15
 #: Texts scored at once.
-SLICE = 2000
+SLICE = 1000
 
 # What language labels stand for, after lower-casing and cutting at the first of - _ and blank.
 LABELS = {
@@ -50,6 +51,9 @@ LABELS = {
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"),
 }
 
+# Languages written in Latin letters.
+LATIN = ("en", "pt", "es", "fr", "de", "it", "nl")
+
 
 def label_code(label: Column) -> Column:
     """The two-letter code a written label stands for; null if it stands for none."""
@@ -73,8 +77,8 @@ def _folding() -> np.ndarray:
     return out
 
 
-def _vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, count) of every n-gram of every text, and which texts have words of a language."""
+def _grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(row, bucket) of every n-gram of every text, by length and in order of rows, and which texts have words of a language."""
     cps, starts = canonical_points(*code_points(texts))
     n = len(starts) - 1
     low = _folding()[cps]
@@ -92,7 +96,7 @@ def _vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     worded &= np.bincount(row[low != 32], np.where(wide, 4, 1)[low != 32], minlength=n) >= LETTERS
     keep = ~((low == 32) & (prev == 32))
     low, row = low[keep].astype(np.uint64), row[keep]
-    rows, buckets = [], []
+    grams = []
     for g in GRAMS:
         m = len(low) - g + 1
         if m <= 0:
@@ -102,13 +106,8 @@ def _vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             h = (h ^ low[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         ok = (row[:m] == row[g - 1 :]) & (low[:m] != 32 if g == 1 else True)
-        rows.append(row[:m][ok])
-        buckets.append((h[ok] >> np.uint64(13)) % np.uint64(DIMS))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), worded
-    key = np.concatenate(rows).astype(np.int64) * DIMS + np.concatenate(buckets).astype(np.int64)
-    key, count = np.unique(key, return_counts=True)
-    return key // DIMS, key % DIMS, count.astype(np.float64), worded
+        grams.append((row[:m][ok], ((h[ok] >> np.uint64(13)) % np.uint64(DIMS)).astype(np.int64)))
+    return grams, worded
 
 
 @dataclass
@@ -119,6 +118,25 @@ class Model:
     centroids: np.ndarray
     langs: list[str]
 
+    def weighted(self) -> np.ndarray:
+        """Centroids by bucket, times idf."""
+        if getattr(self, "_weighted", None) is None:
+            self._weighted = np.ascontiguousarray((self.centroids * self.idf).T.astype(np.float32))
+        return self._weighted
+
+    def _scripts(self, texts: pa.Array):
+        """(which texts, which centroids) by script: texts of Latin letters alone, and all others."""
+        cps, starts = code_points(texts)
+        row = np.repeat(np.arange(len(texts)), np.diff(starts))
+        latin = np.bincount(row[(cps >= 0x0370) & (_folding()[cps] != 32)], minlength=len(texts)) == 0
+        western = np.array([x in LATIN for x in self.langs])
+        if western.any():
+            yield latin, np.flatnonzero(western)
+        yield (~latin if western.any() else np.ones(len(texts), bool)), np.arange(len(self.langs))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_weighted"}
+
     def classify(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(language or '', confidence 0..1) of each text; nulls and empty texts have none."""
         names, confs = [], []
@@ -130,10 +148,20 @@ class Model:
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
-        row, bucket, count, worded = _vectors(texts)
-        w = (1 + np.log(count)) * self.idf[bucket]
-        norm = np.sqrt(np.bincount(row, w * w, minlength=n))
-        cos = np.stack([np.bincount(row, w * c[bucket], minlength=n) for c in self.centroids], 1) / np.maximum(norm, 1e-9)[:, None]
+        grams, worded = _grams(texts)
+        cos, square = np.zeros((n, len(self.centroids)), np.float32), np.zeros(n)
+        # Texts of Latin letters only share nothing with centroids of other scripts.
+        for which, columns in self._scripts(texts):
+            weighted = self.weighted()[:, columns]
+            for row, bucket in grams:
+                mine = which[row]
+                r, b = (row, bucket) if mine.all() else (row[mine], bucket[mine])
+                if len(r):
+                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    cos[np.ix_(r[first], columns)] += np.add.reduceat(weighted[b], first, axis=0)
+        for row, bucket in grams:
+            square += np.bincount(row, self.idf[bucket] ** 2, minlength=n)
+        cos /= np.sqrt(np.maximum(square, 1e-18))[:, None]
         order = sorted(set(self.langs))
         best = np.stack([cos[:, [i for i, x in enumerate(self.langs) if x == lang]].max(1) for lang in order], 1)
         top = best.argmax(1)
@@ -146,10 +174,20 @@ class Model:
         return np.where(known, np.array(order, object)[top], ""), np.where(known, conf, 0.0)
 
 
-def _dense(row, bucket, w, n) -> np.ndarray:
-    x = np.zeros((n, DIMS), np.float32)
-    x[row, bucket] = w
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+def _in_slices(texts: list[str], size: int = 100):
+    """(start, row, bucket) of the n-grams of a few texts at a time, so that little is held at once."""
+    for k in range(0, len(texts), size):
+        for r, b in _grams(pa.array(texts[k : k + size]))[0]:
+            yield k, r, b
+
+
+def _dense(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(texts), DIMS), np.float32)
+    for k, r, b in _in_slices(texts):
+        np.add.at(x, (k + r, b), 1)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 def _clustered(x: np.ndarray, k: int) -> np.ndarray:
@@ -176,9 +214,12 @@ def fitted(labelled: list[tuple[str, str]]) -> Model:
     by = {k: v for k, v in by.items() if len(v) >= 2}
     if not by:
         return Model(np.ones(DIMS), np.zeros((1, DIMS), np.float32), [""])
-    everything = pa.array([p for v in by.values() for p in v])
-    row, bucket, _, _ = _vectors(everything)
-    idf = np.log((1 + len(everything)) / (1 + np.bincount(bucket, minlength=DIMS))) + 0.1
+    n = sum(map(len, by.values()))
+    seen = np.zeros(DIMS, np.int64)
+    for texts in by.values():
+        for _, r, b in _in_slices(texts):
+            seen += np.bincount(np.unique(r * DIMS + b) % DIMS, minlength=DIMS)
+    idf = np.log((1 + n) / (1 + seen)) + 0.1
     model = None
     for turn in range(2):
         cents, langs = [], []
@@ -186,9 +227,7 @@ def fitted(labelled: list[tuple[str, str]]) -> Model:
             if turn:
                 own, _ = model.classify(pa.array(texts))
                 texts = [t for t, o in zip(texts, own) if o == lang] or texts
-            r, b, c, _ = _vectors(pa.array(texts))
-            x = _dense(r, b, (1 + np.log(c)) * idf[b], len(texts))
-            for v in _clustered(x, CLUSTERS if turn else 1):
+            for v in _clustered(_dense(texts, idf), CLUSTERS if turn else 1):
                 cents.append(v)
                 langs.append(lang)
         model = Model(idf, np.stack(cents).astype(np.float32), langs)
@@ -268,7 +307,7 @@ def sides(blocks: DataFrame, segs: DataFrame) -> DataFrame:
 
 def distinct_blocks(blocks: DataFrame) -> DataFrame:
     """block_id, doc_id, side, text with re-delivered rows once."""
-    return blocks.select("block_id", "doc_id", "side", "text").distinct()
+    return once_by_id(blocks.select("block_id", "doc_id", "side", "text"), "block_id")
 
 
 def found(blocks: DataFrame, books: DataFrame, docs: DataFrame, least: int = 40) -> DataFrame:

@@ -32,6 +32,9 @@ ENDS = ".!?…؟۔।॥։።"
 WIDE_ENDS = "。！？｡．"
 SPACE = r"\s\x1c-\x1f\u0085   -     　"
 
+#: The same characters one by one.
+BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def _let(value: Column, body) -> Column:
     """body(value) with the value computed once, however often the body names it."""
@@ -42,12 +45,13 @@ def _hide(t: Column) -> Column:
     h, anyend = HIDDEN, ENDS + WIDE_ENDS
     names = "|".join(sorted(BEFORE_NAMES.split(), key=len, reverse=True))
     numbers = "|".join(x.replace(".", f"[.{h}]") for x in sorted(BEFORE_NUMBERS.split(), key=len, reverse=True))
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])[.](?=[\p{L}\p{N}_])", h)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}'’_{h}])(\p{{L}})[.](?=[\s,])(?!(?<=т[.{h}]\s[дп][.])\s+[^\p{{Ll}}\s])", f"$1{h}")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])({names})[.](?=\s)", f"$1{h}")
-    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{M}}\p{{N}}_])({numbers})[.](?=\s*(?:[\p{{N}}\p{{Ll}}(]|(?-i:[IVXLC]+)\b))", f"$1{h}")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}_])vs[.](?=\s)", f"vs{h}")
-    t = F.regexp_replace(t, rf"(?i)(?<=(?<![\p{{L}}])(?:{BEFORE_ORDINALS})\s{{1,2}})(\d{{1,3}})[.](?=\s+\p{{Lu}})", f"$1{h}")
+    # Every pattern starts at the full stop and looks back, as full stops are few and letters many.
+    edge = r"(?<![\p{L}\p{M}\p{N}_])"
+    t = F.regexp_replace(t, r"[.](?=[\p{L}\p{N}_])(?<=[\p{L}\p{N}_][.])", h)
+    t = F.regexp_replace(t, rf"[.](?=[\s,])(?<=(?<![\p{{L}}\p{{M}}\p{{N}}'’_{h}])\p{{L}}[.])(?!(?<=т[.{h}]\s[дп][.])\s+[^\p{{Ll}}\s])", h)
+    t = F.regexp_replace(t, rf"[.](?=\s)(?<={edge}(?:{names}|vs)[.])", h)
+    t = F.regexp_replace(t, rf"(?iu)[.](?=\s*(?:[\p{{N}}\p{{Ll}}(]|(?-i:[IVXLC]+)\b))(?<={edge}(?:{numbers})[.])", h)
+    t = F.regexp_replace(t, rf"(?iu)[.](?=\s+\p{{Lu}})(?<=(?<![\p{{L}}])(?:{BEFORE_ORDINALS})\s{{1,2}}\d{{1,3}}[.])", h)
     low, high = "„", "“"
 
     def inside(x: Column, opens: str, closes: str) -> Column:
@@ -60,7 +64,8 @@ def _hide(t: Column) -> Column:
     for o, c in (("«", "»"), ("「", "」"), ("『", "』"), ("（", "）"), ("‘", "’"), ("(", ")")):
         t = _let(t, within(o, c))
     # A quotation that opens a sentence and is followed by its speaker doesn't end it.
-    return F.regexp_replace(t, rf"((?<![：:，,])“[^“”]{{0,{SPAN}}})[{anyend}](?=”[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{h}")
+    said = lambda x: F.regexp_replace(x, rf"((?<![：:，,])“[^“”]{{0,{SPAN}}})[{anyend}](?=”[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{h}")
+    return _let(t, lambda x: F.when(x.contains("”"), said(x)).otherwise(x))
 
 
 def _marked(t: Column) -> Column:
@@ -70,18 +75,26 @@ def _marked(t: Column) -> Column:
     t = F.regexp_replace(
         t, rf"[{ENDS}]++(?!{h}){closers}(?=[{SPACE}]+(?:[—–-][{SPACE}]+)?[^\p{{Ll}}{SPACE},;:—–-])", f"$0{MARK}"
     )
-    t = F.regexp_replace(t, rf"(?<=[\p{{IsGreek}}])[;;]{closers}(?=[{SPACE}]+[^\p{{Ll}}{SPACE}])", f"$0{MARK}")
-    cjk = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー]"
-    t = F.regexp_replace(t, rf"[{WIDE_ENDS}…]++(?<!(?<!{cjk}|[{WIDE_ENDS}]|…)…)(?![{h}{WIDE_ENDS}…])(?![」』])[”’）)]*+(?=[^\p{{Ll}},，、;:：{MARK}])", f"$0{MARK}")
-    t = F.regexp_replace(t, rf"[{WIDE_ENDS}…]+[」』]+(?=[{SPACE}]*[「『])", f"$0{MARK}")
-    return F.regexp_replace(t, rf"(?<=[฀-๿])[{SPACE}]+(?=[฀-๿])", f"$0{MARK}")
+
+    def others(t: Column) -> Column:
+        t = F.regexp_replace(t, rf"[;;](?<=[\p{{IsGreek}}].){closers}(?=[{SPACE}]+[^\p{{Ll}}{SPACE}])", f"$0{MARK}")
+        cjk = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー]"
+        t = F.regexp_replace(t, rf"[{WIDE_ENDS}…]++(?<!(?<!{cjk}|[{WIDE_ENDS}]|…)…)(?![{h}{WIDE_ENDS}…])(?![」』])[”’）)]*+(?=[^\p{{Ll}},，、;:：{MARK}])", f"$0{MARK}")
+        t = F.regexp_replace(t, rf"[{WIDE_ENDS}…]+[」』]+(?=[{SPACE}]*[「『])", f"$0{MARK}")
+        return F.regexp_replace(t, rf"[{SPACE}]++(?=[฀-๿])(?<=[฀-๿][{SPACE}]{{1,9}})", f"$0{MARK}")
+
+    return _let(t, lambda x: F.when(x.rlike(r"[\u0370-\u03ff\u0e00-\u0e7f\u3000-\ud7a3\uf900-\ufefe\uff00-\uffef]"), others(x)).otherwise(x))
 
 
 def units_of(text: Column) -> Column:
     """Array of struct(start_pos, end_pos) in code points; empty for null, empty and blank texts."""
     nl = r"(?:\r\n|\r|\n| | )"
     item = r"(?:[•‣◦▪●*·-]|\d{1,3}[.)]|[A-Za-z][)])[ \t ]"
-    paragraphs = F.split(F.regexp_replace(text, rf"{nl}(?:[{SPACE}​­﻿]*{nl})+", f"$0{MARK}"), MARK)
+    def paragraphs_of(x: Column) -> Column:
+        cut = F.split(F.regexp_replace(x, rf"{nl}(?:[{SPACE}​­﻿]*{nl})+", f"$0{MARK}"), MARK)
+        return F.when(x.contains("\n") | x.contains("\r") | x.contains("\u2028") | x.contains("\u2029"), cut).otherwise(F.array(x))
+
+    paragraphs = _let(text, paragraphs_of)
 
     def parts(p: Column) -> Column:
         lines = F.filter(F.split(p, nl), lambda x: F.trim(x) != "")
@@ -101,8 +114,8 @@ def units_of(text: Column) -> Column:
                     s["out"],
                     F.array(
                         F.struct(
-                            (s["at"] + F.length(F.regexp_extract(u, rf"^[{SPACE}]*", 0))).cast("int").alias("start_pos"),
-                            (s["at"] + F.length(u) - F.length(F.regexp_extract(u, rf"[{SPACE}]*$", 0))).cast("int").alias("end_pos"),
+                            (s["at"] + F.length(u) - F.length(F.ltrim(u, F.lit(BLANKS)))).cast("int").alias("start_pos"),
+                            (s["at"] + F.length(F.rtrim(u, F.lit(BLANKS)))).cast("int").alias("end_pos"),
                         )
                     ),
                 ).alias("out"),
