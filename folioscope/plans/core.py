@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fonts, text
 from folioscope.functions.geometry import similar_colors
-from folioscope.operators import batching, lineage, pairing, queueing, scan, validate
+from folioscope.operators import pairing, scan, validate
 from folioscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -196,7 +196,6 @@ def log_mapping_server(s, d):
 
 
 TIMES = f"{OPENED}, tm AS (SELECT log_id, src AS source, (epoch_us(ts) - epoch_us(t0)) / 1e6 AS seconds FROM f WHERE kind = 'saved' AND src IS NOT NULL QUALIFY row_number() OVER (PARTITION BY log_id, src ORDER BY line_no DESC) = 1)"
-SPAN = "CASE WHEN seconds >= 3600 THEN floor(seconds / 3600)::INT || 'h' || lpad(floor(seconds::BIGINT % 3600 / 60)::INT::VARCHAR, 2, '0') || 'm' ELSE 0 END"
 
 
 @q(f"""WITH {TIMES}, s AS (SELECT *, greatest(floor(seconds)::BIGINT, 0) AS z FROM tm) SELECT log_id, source, round(seconds, 3) AS seconds,
@@ -218,9 +217,7 @@ def throughput(s, d):
 m AS (SELECT translated_name AS target, max(original_name) AS source FROM manual_mapping GROUP BY ALL)
 SELECT coalesce(m.target, a.target) AS target, coalesce(m.source, a.source) AS source FROM a FULL JOIN m ON a.target = m.target""")
 def mapping_override(s, d):
-    from pyspark.sql import functions as G
-
-    f = lineage._filled(logs(s, d), G.when(G.col("kind") == "open", G.col("name"))).where("kind = 'done' and last is not null")
+    f = lineage._filled(logs(s, d), F.when(F.col("kind") == "open", F.col("name"))).where("kind = 'done' and last is not null")
     manual = table(s, d, "manual_mapping").select(F.col("translated_name").alias("target"), F.col("original_name").alias("source"))
     return lineage.overridden(f.select(F.col("name").alias("target"), F.col("last").alias("source")), manual)
 
