@@ -14,6 +14,7 @@ from folioscope.llm.canon import with_canonical
 from folioscope.llm.langid import Model, classifier
 from folioscope.llm.openings import clusters, opening
 from folioscope.session import broadcast_if_small, checkpointed
+from folioscope.sources.tables import once_by_id
 
 #: A template answers at least so many unrelated prompts, and that many for each of its answers.
 PROMPTS, SPREAD = 3, 0.5
@@ -25,6 +26,9 @@ SURE = 0.3
 SHORT = 0.5
 #: Letters that a label around a copy may have.
 EXTRA = 24
+# White space and quotes around a text, and signs that may follow its last full stop.
+AROUND = " \t\n\x0b\f\r\"“”„«»'‘’\u200b\ufeff"
+CLOSERS = " \t\n\x0b\f\r\"“”„«»'‘’*`)]）」』\u200b"
 # Signs of "nothing here".
 PLACEHOLDERS = ("n a", "na", "none", "null", "nil", "nan", "empty", "vazio", "tbd", "todo")
 
@@ -41,15 +45,16 @@ def _copied(source: Column, answer: Column) -> Column:
 
 def _unwrapped(text: Column) -> Column:
     """Without code fences, emphasis, quotes, trailing page marks and white space around."""
-    t = F.regexp_replace(text, r"```\w*|[*_`]{1,3}", "")
-    t = F.regexp_replace(t, r"(?:\n\s*[\[(]?\d{1,4}[\])]?)?\s*$", "")
-    return F.regexp_replace(t, r"^[\s\"“”„«»'‘’]+|[\s\"“”„«»'‘’​﻿]+$", "")
+    t = F.when(text.rlike(r"[*_`]"), F.regexp_replace(text, r"```\w*|[*_`]{1,3}", "")).otherwise(text)
+    t = F.when(t.contains("\n"), F.regexp_replace(t, r"(?:\n\s*[\[(]?\d{1,4}[\])]?)?\s*$", "")).otherwise(t)
+    return F.btrim(t, F.lit(AROUND))
 
 
 def _body(text: Column) -> Column:
     """The prompt without a page number or a last line that is only one."""
     last = r"\n\s*(?:[-–—\[(|]?\s*(?:(?:Page|Pág\.?|Página|Seite|S\.|p\.)\s*)?[0-9ivxlcdmoIlO]{1,7}\s*[-–—\])|]?)\s*$"
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i){last}", "")
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.contains("\n"), F.regexp_replace(t, f"(?i){last}", "")).otherwise(t)
 
 
 def _runs(words: Column) -> Column:
@@ -59,15 +64,16 @@ def _runs(words: Column) -> Column:
 
 def templates(pairs: DataFrame) -> DataFrame:
     """words of the response openings that recur across unrelated prompts. pairs: q, a (openings of both)."""
-    counted = pairs.where(F.size(F.split("a", " ")) >= 4).groupBy("a", "q").agg(F.count("*").alias("n"))
-    counted = checkpointed(counted)
-    often = counted.groupBy("a").agg(F.sum("n").alias("n"))
-    led = clusters(often.select(F.col("a").alias("words")))
-    asked = clusters(counted.join(led.join(led.groupBy("leader").agg(F.count("*").alias("k")), "leader").select(F.col("words").alias("a")), "a").select(F.col("q").alias("words")).distinct())
-    both = counted.join(led.select(F.col("words").alias("a"), F.col("leader").alias("al")), "a").join(asked.select(F.col("words").alias("q"), F.col("leader").alias("ql")), "q")
-    per = both.groupBy("al", "ql").agg(F.sum("n").alias("n")).groupBy("al").agg(F.sum("n").alias("n"), F.count("*").alias("prompts"))
+    counted = checkpointed(pairs.where(F.size(F.split("a", " ")) >= 4).groupBy("a", "q").agg(F.count("*").alias("n")))
+    led = clusters(counted.select(F.col("a").alias("words")).distinct()).select(F.col("words").alias("a"), F.col("leader").alias("al"))
+    mine = counted.join(led, "a")
+    often = mine.groupBy("al").agg(F.sum("n").alias("all")).where(F.col("all") >= PROMPTS).select("al")
+    mine = checkpointed(mine.join(often, "al", "left_semi"))
+    # Only the prompts of openings that recur need clusters of their own.
+    asked = clusters(mine.select(F.col("q").alias("words")).distinct()).select(F.col("words").alias("q"), F.col("leader").alias("ql"))
+    per = mine.join(asked, "q").groupBy("al", "ql").agg(F.sum("n").alias("n")).groupBy("al").agg(F.sum("n").alias("n"), F.count("*").alias("prompts"))
     told = per.where((F.col("prompts") >= PROMPTS) & (F.col("prompts") >= SPREAD * F.col("n"))).select("al")
-    return led.join(told.withColumnRenamed("al", "leader"), "leader", "left_semi").select("words")
+    return mine.join(told, "al", "left_semi").select(F.col("a").alias("words")).distinct()
 
 
 def judged(entries: DataFrame, model: Model) -> DataFrame:
@@ -76,39 +82,45 @@ def judged(entries: DataFrame, model: Model) -> DataFrame:
     A null or contentless response is 'empty' unless the prompt has no content either. Prompts without translatable
     words may be repeated.
     """
-    e = entries.select("entry_id", "target_lang", "original", "translated").distinct()
+    none = F.lit("")
+    e = once_by_id(entries.select("entry_id", "target_lang", "original", "translated"), "entry_id")
     e = with_canonical(with_canonical(e, "original", "co"), "translated", "ct")
+    e = e.withColumns({"u": _unwrapped(F.coalesce("translated", none)), "o": F.coalesce("original", none), "ct": _unwrapped(F.coalesce("ct", none)), "co": F.coalesce("co", none)})
+    e = e.withColumn("l", F.get(classifier(model)(F.array("ct")), 0))
+    spoken = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", " "))
+    raw = F.coalesce("translated", none)
+    raw = F.when(raw.contains("\n"), F.regexp_replace(raw, r"(?:\n\s*[\[(]\d{1,4}[\])])?\s*$", "")).otherwise(raw)
     e = e.withColumns({
-        "a": opening(_unwrapped(F.col("translated"))), "q": opening(F.col("original")),
-        "same": F.coalesce(_copied(_letters(F.col("co")), _letters(F.col("ct"))), F.lit(False)),
-        "ends": F.coalesce(F.regexp_replace(F.coalesce("translated", F.lit("")), r"(?:\n\s*[\[(]\d{1,4}[\])])?\s*$", ""), F.lit("")),
+        "a": opening(F.col("u")), "q": opening(F.col("o")), "same": _copied(_letters(F.col("co")), _letters(F.col("ct"))),
+        "bare": spoken("co"), "answer": spoken("u"), "body": F.rtrim(_body(F.col("o")), F.lit(AROUND)), "end": F.rtrim(raw, F.lit(CLOSERS)),
     })
-    e = checkpointed(e.withColumn("l", F.get(classifier(model)(F.array(_unwrapped(F.col("ct")))), 0)).drop("ct"))
-    told = templates(e.where("not same and length(a) > 0").select("q", "a"))
-    known = told.select(F.explode(_runs(F.col("words"))).alias("run")).distinct()
-    runs = e.where("not same and length(a) > 0").select("entry_id", "a", F.explode(_runs(F.col("a"))).alias("run"))
-    share = runs.join(broadcast_if_small(known).withColumn("is", F.lit(1)), "run", "left").groupBy("entry_id").agg((F.count("is") / F.count("*")).alias("share"))
-    e = e.join(share.where(F.col("share") >= KNOWN), "entry_id", "left")
-
-    words = F.regexp_extract_all(F.coalesce("original", F.lit("")), F.lit(r"(?<![\p{L}\p{N}\p{M}-])(?:\p{Ll}[\p{L}\p{M}]+|\p{Lo}{2,})"), F.lit(0))
-    translatable = (F.size(words) >= 2) | F.col("original").rlike(r"\p{Lu}{2,}(?:\s+\p{Lu}{2,}){3}")
-    bare = F.trim(F.regexp_replace(F.lower(F.coalesce("co", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    answer = F.trim(F.regexp_replace(F.lower(F.coalesce(_unwrapped(F.col("translated")), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    empty = ~F.coalesce(_unwrapped(F.col("translated")), F.lit("")).rlike(r"\p{L}") & bare.rlike(r"\p{L}") | answer.isin(*PLACEHOLDERS) & (answer != bare)
-    body = F.regexp_replace(_body(F.col("original")), r"[\s\"“”„«»'‘’]+$", "")
-    end = F.regexp_replace(F.col("ends"), r"[\s\"“”„«»'‘’*`)\]）」』​]+$", "")
+    words = F.regexp_extract_all("o", F.lit(r"(?<![\p{L}\p{N}\p{M}-])(?:\p{Ll}[\p{L}\p{M}]+|\p{Lo}{2,})"), F.lit(0))
+    translatable = (F.size(words) >= 2) | F.col("o").rlike(r"\p{Lu}{2,}(?:\s+\p{Lu}{2,}){3}")
+    empty = ~F.col("u").rlike(r"\p{L}") & F.col("bare").rlike(r"\p{L}") | F.col("answer").isin(*PLACEHOLDERS) & (F.col("answer") != F.col("bare"))
     closed = r"[.!?。！？।؟;:]$"
-    cut_mark = end.rlike(r"(?:…|,|[\s]-|\.\.\.|[\p{L}]-|[(])$") & ~body.rlike(r"(?:…|,|-|\.\.\.)$")
-    short = F.length(end) < SHORT * F.length(body)
-    # An answer that may end without a full stop (its prompt does) is broken off if it is short.
-    truncated = cut_mark | ~end.rlike(closed) & body.rlike(closed) | ~end.rlike(closed) & short & translatable
-    other = (F.col("l.lang") != "") & (F.col("l.lang") != F.col("target_lang")) & (F.col("l.confidence") >= SURE)
+    e = e.withColumns({
+        "translatable": translatable, "empty": empty, "closed": F.right("end", F.lit(1)).rlike(closed),
+        "cut": F.right("end", F.lit(4)).rlike(r"(?:…|,|[\s]-|\.\.\.|[\p{L}]-|[(])$") & ~F.right("body", F.lit(4)).rlike(r"(?:…|,|-|\.\.\.)$"),
+        "full": F.right("body", F.lit(1)).rlike(closed), "short": F.length("end") < SHORT * F.length("body"), "some": F.length("answer") > 0,
+        "other": (F.col("l.lang") != "") & (F.col("l.lang") != F.col("target_lang")) & (F.col("l.confidence") >= SURE),
+    })
+    # From here on only openings and judgements are carried.
+    e = checkpointed(e.select("entry_id", "a", "q", "same", "translatable", "empty", "closed", "cut", "full", "short", "some", "other"))
+    fresh = e.where("not same and not empty and length(a) > 0")
+    told = templates(fresh.select("q", "a"))
+    known = told.select(F.explode(_runs(F.col("words"))).alias("run")).distinct()
+    known = broadcast_if_small(known).withColumn("is", F.lit(1))
+    runs = fresh.select("a").distinct().select("a", F.explode(_runs(F.col("a"))).alias("run"))
+    share = runs.join(known, "run", "left").groupBy("a").agg((F.count("is") / F.count("*")).alias("share")).where(F.col("share") >= KNOWN)
+    e = e.join(broadcast_if_small(share), "a", "left")
+    # An answer without an end is broken off if its prompt has one, or if it is short.
+    truncated = F.col("cut") | ~F.col("closed") & (F.col("full") | F.col("short") & F.col("translatable"))
     defect = (
-        F.when(empty, "empty")
-        .when(F.col("same"), F.when(translatable, "copied"))
+        F.when(F.col("empty"), "empty")
+        .when(F.col("same"), F.when(F.col("translatable"), "copied"))
         .when(F.col("share").isNotNull(), "refusal")
-        .when(other, "wrong_language")
-        .when((F.length(answer) > 0) & truncated, "truncated")
+        .when(F.col("other"), "wrong_language")
+        .when(F.col("some") & truncated, "truncated")
     )
     return e.select("entry_id", defect.alias("defect"))
 
