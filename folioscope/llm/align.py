@@ -18,8 +18,11 @@ from folioscope.llm.sentences import units_of
 from folioscope.session import checkpointed
 from folioscope.sources.tables import once_by_id
 
-#: Sentences of one side worked on together; larger books are cut into pieces that overlap by their neighbours.
+#: Sentences of one side worked on together; larger books are cut into pieces that overlap by their neighbours and are
+#: widened by candidates from anywhere in the book.
 PIECE = 400
+#: Sentences of one side of a large book that a word may stand in to tell candidates, and candidates for a sentence.
+RARE, FAR = 50, 3
 #: Rounds of estimation after the first one by position.
 ROUNDS = 3
 #: Share of the shorter sentence's weight that must be covered for a link, and for a further partner.
@@ -67,16 +70,46 @@ def _votes(ws: str, lang: str):
 
 
 def books(sents: DataFrame) -> DataFrame:
-    """One row per book (per overlapping piece of a large one): doc_id, piece, o and t (its sentences), in order."""
+    """One row per book (per overlapping piece of a large one): doc_id, piece, pieces, o and t (its sentences), in order.
+
+    Pieces of large books stay if a side is empty, as widened() may fill it.
+    """
     n = sents.groupBy("doc_id", "side").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     most = n.groupBy("doc_id").agg(F.ceil(F.max("n") / PIECE).cast("int").alias("pieces"))
     placed = sents.join(n, ["doc_id", "side"]).join(most, "doc_id")
     rel = (F.col("at") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
     piece = F.least(F.floor(rel * F.col("pieces")).cast("int"), F.col("pieces") - 1)
     near = F.filter(F.array(piece - 1, piece, piece + 1), lambda p: (p >= 0) & (p < F.col("pieces")))
-    placed = placed.select("doc_id", "side", F.struct(F.col("at"), rel.alias("rel"), "line_id", "ws").alias("s"), F.explode(F.when(F.col("side") == "orig", F.array(piece)).otherwise(near)).alias("piece"))
+    key = F.xxhash64(F.array_sort(F.array_distinct("ws")))
+    placed = placed.select("doc_id", "pieces", "side", F.struct(F.col("at"), rel.alias("rel"), "line_id", "ws", key.alias("k")).alias("s"), F.explode(F.when(F.col("side") == "orig", F.array(piece)).otherwise(near)).alias("piece"))
     pick = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("s"))))
-    return placed.groupBy("doc_id", "piece").agg(pick("orig").alias("o"), pick("trans").alias("t")).where("size(o) > 0 and size(t) > 0")
+    return placed.groupBy("doc_id", "piece", "pieces").agg(pick("orig").alias("o"), pick("trans").alias("t")).where("size(o) > 0 and size(t) > 0 or pieces > 1")
+
+
+def _each(bs: DataFrame, side: str) -> DataFrame:
+    """doc_id and s, one row per sentence of a side of large books."""
+    return bs.select("doc_id", F.explode(side).alias("s")).dropDuplicates(["doc_id", "s"])
+
+
+def widened(large: DataFrame, table: DataFrame | None) -> DataFrame:
+    """Pieces of large books with candidates from anywhere in the book added to t.
+
+    Candidates share words, or words and their translations as far as a table is known, that stand in at most RARE
+    different sentences of the other side; the FAR best ones of each sentence are added.
+    """
+    o = large.select("doc_id", "piece", F.explode("o").alias("s")).groupBy("doc_id", "piece", "s.k").agg(F.first("s.ws").alias("ws"))
+    o = o.select("doc_id", "piece", "k", F.explode(F.array_distinct("ws")).alias("e"))
+    t = checkpointed(_each(large, "t").groupBy("doc_id", F.col("s.k").alias("kt")).agg(F.min("s").alias("s")))
+    words = t.select("doc_id", "kt", F.explode(F.array_distinct("s.ws")).alias("f"))
+    rare = words.groupBy("doc_id", "f").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    meant = o.withColumnRenamed("e", "f")
+    if table is not None:
+        meant = meant.unionByName(o.join(table.select("e", "f"), "e").drop("e")).distinct()
+    met = meant.join(rare, ["doc_id", "f"]).join(words, ["doc_id", "f"]).groupBy("doc_id", "piece", "k", "kt").agg(F.sum(1 / F.col("n")).alias("w"))
+    best = met.groupBy("doc_id", "piece", "k").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "kt")), asc=False), 1, FAR).alias("b"))
+    far = best.select("doc_id", "piece", F.explode("b.kt").alias("kt")).distinct().join(t, ["doc_id", "kt"]).groupBy("doc_id", "piece").agg(F.collect_list("s").alias("far"))
+    both = large.join(far, ["doc_id", "piece"], "left").withColumn("t", F.array_sort(F.array_distinct(F.when(F.col("far").isNull(), F.col("t")).otherwise(F.concat("t", "far")))))
+    return checkpointed(both.drop("far").where("size(o) > 0 and size(t) > 0"))
 
 
 class _Side:
@@ -153,7 +186,7 @@ class _Book:
         return w / np.maximum(w.sum(1, keepdims=True), 1e-9)
 
     def links(self) -> list[tuple[int, int]]:
-        """Competitive linking of spans."""
+        """Competitive linking of spans; `how` has the score and the covered target words of each link."""
         # Against the best partners within the book, so that no language pair depends on how often the others occur.
         top_e, top_f = self.sym.max(1, keepdims=True), self.sym.max(0, keepdims=True)
         some = top_e[top_e > 0]
@@ -171,7 +204,7 @@ class _Book:
         score = np.maximum(fs, ft) * 0.6 + np.minimum(fs, ft) * 0.4
         free_s, free_t = [np.ones(len(i), bool) for i in self.is_], [np.ones(len(j), bool) for j in self.it]
         used_s, used_t = np.zeros(len(self.s), bool), np.zeros(len(self.t), bool)
-        out = []
+        out, self.how = [], []
         order = np.argsort(-score, axis=None, kind="stable")
         for flat in order:
             i, j = divmod(int(flat), score.shape[1])
@@ -192,6 +225,7 @@ class _Book:
             if used_s[i] and part_t < need or used_t[j] and part_s < need:
                 continue
             out.append((i, j))
+            self.how.append((float(score[i, j]), self.vf[cj[gt >= 0.5]]))
             used_s[i] = used_t[j] = True
             free_s[i] &= gs < 0.5
             free_t[j] &= gt < 0.5
@@ -267,15 +301,21 @@ def _with_table(bs: DataFrame, table: DataFrame) -> DataFrame:
     return bs.join(own, ["doc_id", "piece"], "left").withColumn("table", F.coalesce("table", none))
 
 
-def tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(books, translation table) after ROUNDS rounds of estimation."""
+def tables(lines: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(books, widened pieces of large books if there are any, translation table) after ROUNDS rounds of estimation."""
     # A row is a whole book with its part of the table, so few of them make an Arrow batch.
     lines.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     bs = checkpointed(books(sentences(lines)))
-    table = _table(bs.mapInArrow(_expected(True), "e long, f long, c double"))
+    large = bs.where("pieces > 1")
+    if large.isEmpty():
+        large = None
+    else:
+        bs = bs.where("pieces = 1")
+    every = lambda table: (bs, None) if large is None else (bs.unionByName(wide := widened(large, table)), wide)
+    table = _table(every(None)[0].mapInArrow(_expected(True), "e long, f long, c double"))
     for _ in range(ROUNDS):
-        table = _table(_with_table(bs, table).mapInArrow(_expected(False), "e long, f long, c double"))
-    return bs, table
+        table = _table(_with_table(every(table)[0], table).mapInArrow(_expected(False), "e long, f long, c double"))
+    return bs, every(table)[1], table
 
 
 def _copies(side: _Side) -> dict[bytes, list[int]]:
@@ -285,14 +325,48 @@ def _copies(side: _Side) -> dict[bytes, list[int]]:
     return out
 
 
+def _large_pairs(large: DataFrame, table: DataFrame) -> DataFrame:
+    """x, y: linked lines of large books.
+
+    A target sentence may be linked in several pieces; these links compete for its words, best score first, as the
+    links within a piece do.
+    """
+
+    def link(batches):
+        for batch in batches:
+            docs, cols = batch.column("doc_id").to_pylist(), [[], [], [], [], []]
+            keys = [[c.values.field("k").to_numpy()[a:b] for a, b in zip(c.offsets.to_numpy(), c.offsets.to_numpy()[1:])] for c in (batch.column("o"), batch.column("t"))]
+            for k, (o, t, own) in enumerate(_arrow_books(batch)):
+                b = _Book(o, t, own)
+                for (i, j), (score, words) in zip(b.links(), b.how):
+                    for col, v in zip(cols, (docs[k], int(keys[0][k][i]), int(keys[1][k][j]), score, words.tolist())):
+                        col.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], ["doc_id", "ko", "kt", "score", "words"])
+
+    links = _with_table(large, table).mapInArrow(link, "doc_id long, ko long, kt long, score double, words array<long>")
+    links = links.groupBy("doc_id", "ko", "kt").agg(F.max(F.struct("score", "words")).alias("m"))
+    ranked = links.groupBy("doc_id", "kt").agg(F.sort_array(F.collect_list(F.struct("m.score", "ko", "m.words")), asc=False).alias("ls"))
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<bigint>").alias("used"))
+
+    def take(acc, x):
+        free = F.size(F.array_except(x["words"], acc["used"])) >= F.greatest(F.lit(1), F.ceil(F.size(x["words"]) * FURTHER))
+        ok = (F.size(acc["kept"]) == 0) | free
+        return F.when(ok, F.struct(F.array_append(acc["kept"], x["ko"]).alias("kept"), F.array_union(acc["used"], x["words"]).alias("used"))).otherwise(acc)
+
+    kept = ranked.select("doc_id", "kt", F.explode(F.aggregate("ls", start, take)["kept"]).alias("ko"))
+    of = lambda side, key, line: _each(large, side).select("doc_id", F.col("s.k").alias(key), F.col("s.line_id").alias(line)).distinct()
+    return kept.join(of("o", "ko", "x"), ["doc_id", "ko"]).join(of("t", "kt", "y"), ["doc_id", "kt"]).select("x", "y")
+
+
 def found(lines: DataFrame) -> DataFrame:
     """line_id_a, line_id_b (a < b): lines of one book's two sides of which one translates a sentence of the other.
 
     Re-delivered lines count once. Null and empty texts, and lines without words of a language (names, codes), have no
     partner. Copies of a sentence within a side share its partners. Within books of more than PIECE sentences a
-    partner is sought in the same and the neighbouring piece.
+    partner is sought in the same and the neighbouring pieces and among the candidates of widened().
     """
-    bs, table = tables(lines)
+    bs, large, table = tables(lines)
 
     def link(batches):
         for batch in batches:
@@ -308,4 +382,6 @@ def found(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
     pairs = _with_table(bs, table).mapInArrow(link, "x long, y long")
+    if large is not None:
+        pairs = pairs.unionByName(_large_pairs(large, table))
     return pairs.select(F.least("x", "y").alias("line_id_a"), F.greatest("x", "y").alias("line_id_b")).where("line_id_a < line_id_b").distinct()

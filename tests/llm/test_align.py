@@ -2,6 +2,7 @@
 
 import random
 
+from folioscope.llm import align
 from folioscope.llm.align import found
 
 SOURCE = [f"{a}{b}" for a in ("lorn", "brim", "dask", "velm", "torp", "quil") for b in ("et", "ow", "in", "ash", "ud")]
@@ -45,6 +46,23 @@ def test_books(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+def test_large_book_that_lacks_its_beginning_and_has_a_block_moved(spark, monkeypatch):
+    monkeypatch.setattr(align, "PIECE", 16)
+    rnd = random.Random(5)
+    word = {f"{a}{b}": f"{y}{x}" for a, x in (("lorn", "zor"), ("brim", "mip"), ("dask", "fek"), ("velm", "gul"), ("torp", "hax"), ("quil", "nev")) for b, y in (("et", "po"), ("ow", "ta"), ("in", "ri"), ("ash", "su"), ("ud", "le"), ("alk", "bo"), ("om", "ki"), ("ers", "da"))}
+    rows, want, line = [], {}, 0
+    for doc, n in [(0, 160), *((d, 12) for d in range(1, 61))]:
+        src = [rnd.sample(list(word), 7) for _ in range(n)]
+        order = [*range(90, 160), *range(60, 90)] if doc == 0 else list(range(n))
+        rows += [(line + k, "orig", doc, k, "The " + " ".join(ws) + ".") for k, ws in enumerate(src)]
+        rows += [(line + n + k, "trans", doc, k, "Un " + " ".join(word[w] for w in src[g]) + ".") for k, g in enumerate(order)]
+        want[doc] = {(line + g, line + n + k) for k, g in enumerate(order)}
+        line += n + len(order)
+    df = spark.createDataFrame(rows, "line_id long, side string, doc_id long, i int, text string")
+    got = {tuple(r) for r in found(df).collect() if r[0] < 260}
+    assert len(got & want[0]) >= 0.95 * len(want[0]) and len(got & want[0]) >= 0.95 * len(got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "line_id long, side string, doc_id long, i int, text string")
     assert found(df).count() == 0
