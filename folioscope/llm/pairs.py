@@ -16,7 +16,7 @@ from folioscope.llm.openings import clusters, opening
 from folioscope.session import broadcast_if_small, checkpointed
 from folioscope.sources.tables import once_by_id
 
-#: A template answers at least so many unrelated prompts, and that many for each of its answers.
+#: A template answers at least so many unrelated prompts, and that many for each of its differing prompts.
 PROMPTS, SPREAD = 3, 0.5
 #: Share of an opening's three-word runs that must be known from templates.
 KNOWN = 0.5
@@ -63,15 +63,19 @@ def _runs(words: Column) -> Column:
 
 
 def templates(pairs: DataFrame) -> DataFrame:
-    """words of the response openings that recur across unrelated prompts. pairs: q, a (openings of both)."""
-    counted = checkpointed(pairs.where(F.size(F.split("a", " ")) >= 4).groupBy("a", "q").agg(F.count("*").alias("n")))
+    """words of the response openings that recur across unrelated prompts. pairs: q, a (openings of both).
+
+    Openings of fewer words than a shingle are classes of their own and judged by the same test. A prompt asked again
+    and again counts once.
+    """
+    counted = checkpointed(pairs.groupBy("a", "q").agg(F.count("*").alias("n")))
     led = clusters(counted.select(F.col("a").alias("words")).distinct()).select(F.col("words").alias("a"), F.col("leader").alias("al"))
     mine = counted.join(led, "a")
     often = mine.groupBy("al").agg(F.sum("n").alias("all")).where(F.col("all") >= PROMPTS).select("al")
     mine = checkpointed(mine.join(often, "al", "left_semi"))
     # Only the prompts of openings that recur need clusters of their own.
     asked = clusters(mine.select(F.col("q").alias("words")).distinct()).select(F.col("words").alias("q"), F.col("leader").alias("ql"))
-    per = mine.join(asked, "q").groupBy("al", "ql").agg(F.sum("n").alias("n")).groupBy("al").agg(F.sum("n").alias("n"), F.count("*").alias("prompts"))
+    per = mine.select("al", "q").distinct().join(asked, "q").groupBy("al", "ql").agg(F.count("*").alias("n")).groupBy("al").agg(F.sum("n").alias("n"), F.count("*").alias("prompts"))
     told = per.where((F.col("prompts") >= PROMPTS) & (F.col("prompts") >= SPREAD * F.col("n"))).select("al")
     return mine.join(told, "al", "left_semi").select(F.col("a").alias("words")).distinct()
 

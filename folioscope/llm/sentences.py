@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIDDEN, MARK = "", ""
-#: Longest quotation or bracket looked across, in characters.
-SPAN = 800
 
 # Abbreviations before a name or a word.
 BEFORE_NAMES = (
@@ -55,7 +53,19 @@ def _hide(t: Column) -> Column:
     low, high = "„", "“"
 
     def inside(x: Column, opens: str, closes: str) -> Column:
-        return F.regexp_replace(x, rf"[{anyend};](?![{anyend}]*\s?[{closes}])(?=[^{opens}{closes}]{{0,{SPAN}}}[{closes}])", h)
+        """Terminators hidden between marks, by a running count of the open ones: one pass, however long the quotation."""
+        pieces = F.regexp_extract_all(x, F.lit(rf"[^{opens}{closes}]*(?:[{opens}{closes}]|\z)"), F.lit(0))
+        hidden = lambda p: F.regexp_replace(p, rf"[{anyend};](?![{anyend}]*\s?[{closes}])", h)
+
+        def step(s: Column, p: Column) -> Column:
+            closed = p.rlike(rf"[{closes}]\z")
+            return F.struct(
+                F.when(closed, F.greatest(s["open"] - 1, F.lit(0))).when(p.rlike(rf"[{opens}]\z"), s["open"] + 1).otherwise(s["open"]).alias("open"),
+                F.concat(s["out"], F.array(F.when(closed & (s["open"] > 0), hidden(p)).otherwise(p))).alias("out"),
+            )
+
+        start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(pieces, start, step, lambda s: F.array_join(s["out"], ""))
 
     t = _let(t, lambda x: F.when(x.contains(low), inside(x, low, high)).when(x.contains("”"), inside(x, "“", "”")).otherwise(x))
     def within(o: str, c: str):
@@ -64,7 +74,7 @@ def _hide(t: Column) -> Column:
     for o, c in (("«", "»"), ("「", "」"), ("『", "』"), ("（", "）"), ("‘", "’"), ("(", ")")):
         t = _let(t, within(o, c))
     # A quotation that opens a sentence and is followed by its speaker doesn't end it.
-    said = lambda x: F.regexp_replace(x, rf"((?<![：:，,])“[^“”]{{0,{SPAN}}})[{anyend}](?=”[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{h}")
+    said = lambda x: F.regexp_replace(x, rf"((?<![：:，,])“[^“”]*)[{anyend}](?=”[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{h}")
     return _let(t, lambda x: F.when(x.contains("”"), said(x)).otherwise(x))
 
 

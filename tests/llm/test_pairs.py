@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from folioscope.llm import langid, pairs
+from folioscope.llm import langid, openings, pairs
 from folioscope.llm.openings import clusters
 
 from .test_langid import sentence
@@ -62,3 +62,45 @@ def test_clusters_of_openings(spark):
     xs = [base, near, "w1 w2", " ".join(f"v{k}" for k in range(30)), ""]
     got = {r["words"]: r["leader"] for r in clusters(spark.createDataFrame([(x,) for x in xs], "words string")).collect()}
     assert got[base] == got[near] and len(set(got.values())) == 4 and set(got) == set(xs)
+
+
+def test_short_refusals_are_found_and_short_openings_are_none(spark, model):
+    rnd = random.Random(9)
+    s = lambda lang: " ".join(sentence(rnd, lang) for _ in range(2))
+    rows = [(k, "pt", s("en"), "Não posso.") for k in range(30)] + [(k, "pt", s("en"), f"Sim. Livro{k} casa{k} porta{k} rio{k} " + s("pt")) for k in range(30, 60)]
+    rows += [(k, "pt", "Chapter three of the old quiet book was here.", "Capítulo três.") for k in range(60, 90)]
+    df = spark.createDataFrame(rows, "entry_id long, target_lang string, original string, translated string")
+    got = {r["entry_id"]: r["defect"] for r in pairs.found(df, model).collect()}
+    assert {k for k, d in got.items() if d == "refusal"} == set(range(30))
+
+
+def test_a_refusal_of_one_prompt_asked_often_still_counts(spark):
+    a = "i am sorry but i cannot help with that"
+    rows = [("the same prompt was asked again and again", a)] * 50 + [(f"other prompt {k} about thing {k} of {k} kinds", a) for k in range(4)]
+    got = pairs.templates(spark.createDataFrame(rows, "q string, a string")).collect()
+    assert [r["words"] for r in got] == [a]
+
+
+def test_rounds_grow_slowly_with_dissimilar_texts_of_one_beginning(spark, monkeypatch):
+    calls = []
+    cut = openings.checkpointed
+    monkeypatch.setattr(openings, "checkpointed", lambda df: calls.append(1) or cut(df))
+    xs = [" ".join([f"c{i}" for i in range(20)] + [f"o{j}x{i}" for i in range(6)]) for j in range(600)]
+    got = clusters(spark.createDataFrame([(x,) for x in xs], "words string"))
+    assert got.select("leader").distinct().count() == 600
+    assert (len(calls) - 2) / 2 <= 6
+
+
+def test_clusters_against_all_pairs(spark):
+    rnd = random.Random(11)
+    base = [[f"w{rnd.randrange(4000)}" for _ in range(26)] for _ in range(60)]
+    xs = {" ".join(ws) for ws in base}
+    for ws in base:
+        for _ in range(rnd.randrange(6)):
+            v = list(ws)
+            v[rnd.choice((0, -1))] = f"v{rnd.randrange(4000)}"
+            xs.add(" ".join(v))
+    grams = {x: {tuple(x.split()[k : k + 5]) for k in range(22)} for x in xs}
+    near = [(a, b) for a in xs for b in xs if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
+    led = {r["words"]: r["leader"] for r in clusters(spark.createDataFrame([(x,) for x in sorted(xs)], "words string")).collect()}
+    assert near and sum(led[a] == led[b] for a, b in near) >= 0.95 * len(near)

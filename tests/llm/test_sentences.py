@@ -53,3 +53,19 @@ def test_empty_table(spark):
 def test_long_text(spark, n):
     df = spark.createDataFrame([(1, "Ab cd. " * n)], "doc_id long, text string")
     assert sentence_units(df).count() == n
+
+
+def test_long_quotations_are_one_unit(spark):
+    said = " ".join(f"It was day {'x' * k}." for k in range(60))
+    for o, c in (("“", "”"), ("«", "»"), ("(", ")")):
+        text = f"He said {o}{said}{c} and left. Next one."
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        got = [text[r["start_pos"] : r["end_pos"]] for r in sentence_units(df).orderBy("sent_no").collect()]
+        assert got == [f"He said {o}{said}{c} and left.", "Next one."]
+
+
+def test_marks_without_a_partner_hide_nothing(spark):
+    text = "It rained (a little). We left. See b). They stayed. One (two. Three."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [text[r["start_pos"] : r["end_pos"]] for r in sentence_units(df).orderBy("sent_no").collect()]
+    assert got == ["It rained (a little).", "We left.", "See b).", "They stayed.", "One (two.", "Three."]
