@@ -16,7 +16,11 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import checkpointed
+
 BUCKETS = 16384
+#: Folded words, and characters of them and their ids, up to which they are handed out as a literal.
+LITERAL_WORDS, LITERAL_CHARS = 400_000, 16_000_000
 _SPACE = r"\t-\r \x1c-\x1f\x85\xa0  -     　"
 _UNICODE_SPACE = _SPACE.replace(r"\x1c-\x1f", "")
 
@@ -109,19 +113,40 @@ def _folded(word: Column, ranks: Column) -> Column:
 def token_ids(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of int) of each row, without special tokens; null and empty texts have an empty array.
 
-    Only words that are no token themselves are shuffled, each once per document; each distinct one of the whole
-    corpus is folded once. Rows repeated under one doc_id, or with a null one, each keep their own ids.
+    Texts are cut once; each distinct word that is no token itself is folded once for the whole corpus. Rows repeated
+    under one doc_id, or with a null one, each keep their own ids.
     """
-    read = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text), path).alias("ws"))
+    cut = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text), path).alias("ws"))
     hard = F.array_distinct(F.transform(F.filter("ws", lambda w: w["r"].isNull()), lambda w: w["w"]))
-    wanted = read.select("doc_id", F.explode(hard).alias("w"))
-    table = wanted.select("w").distinct().select("w", folded(F.col("w"), path).alias("ids"))
-    own = (
-        wanted.join(table, "w").groupBy("doc_id").agg(F.collect_set(F.struct("w", "ids")).alias("t"))
-        .select(F.col("doc_id").alias("own_id"), F.map_from_entries("t").alias("t"))
-    )
-    ids = F.flatten(F.transform("ws", lambda w: F.when(w["r"].isNotNull(), F.array(w["r"])).otherwise(F.col("t")[w["w"]])))
-    return read.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", ids.alias("ids"))
+    # Per word its id, or -1, -2, ... for the text's first, second, ... word that is none.
+    refs = F.transform("ws", lambda w: F.coalesce(w["r"], (-F.array_position(F.col("hard"), w["w"])).cast("int")))
+    read = checkpointed(cut.withColumn("hard", hard).select("doc_id", refs.alias("refs"), "hard"))
+    words = read.select(F.explode("hard").alias("w")).distinct()
+    table = checkpointed(words.select("w", folded(F.col("w"), path).alias("ids")))
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("w") + F.size("ids") * 6), F.lit(0)).alias("chars")).first()
+    if size["n"] <= LITERAL_WORDS and size["chars"] <= LITERAL_CHARS:
+        known = _known([(r["w"], r["ids"]) for r in table.collect()])
+        own = _let(known, lambda t: F.transform("hard", lambda w: F.get(t, F.pmod(F.crc32(F.encode(w, "ISO-8859-1")), F.lit(BUCKETS)).cast("int"))[w]))
+        return read.select("doc_id", _let(own, lambda t: _resolved(F.col("refs"), t)).alias("ids"))
+    row = F.monotonically_increasing_id()  # of checkpointed rows, so that a repeated task numbers them alike
+    read = read.withColumn("row", row)
+    wanted = read.select("row", F.posexplode("hard").alias("k", "w"))
+    own = wanted.join(table, "w").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("t"))
+    ids = _let(F.transform("t", lambda x: x["ids"]), lambda t: _resolved(F.col("refs"), t))
+    return read.select("row", "doc_id", "refs").join(own, "row", "left").select("doc_id", ids.alias("ids"))
+
+
+def _resolved(refs: Column, own: Column) -> Column:
+    """Ids of a text's words: the references, with the text's own words written out."""
+    return F.flatten(F.transform(refs, lambda r: F.when(r < 0, F.get(own, -r - 1)).otherwise(F.array(r))))
+
+
+def _known(folds: list[tuple[str, list[int]]]) -> Column:
+    """A literal of BUCKETS maps from word to ids."""
+    buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
+    for w, ids in folds:
+        buckets[zlib.crc32(w.encode("latin-1")) % BUCKETS][w] = ids
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,array<int>>>")
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
