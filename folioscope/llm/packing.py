@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Limits of books without a configuration.
 DEFAULT_SIZE, DEFAULT_CHARS = 10, 2200
+#: Shares in which the equal lengths of a book are ranked.
+SALT = 16
 
 
 class _Batches:
@@ -66,7 +68,7 @@ def plan(lengths: list[tuple[int, int]], chars: int, places: int) -> tuple[int,
     A slot (length, rank, n, batch, per) says that the items of that length with ranks rank..rank+n-1 go to batches
     batch, batch+1, ..., each taking `per` of them. Long items come first, each into the fullest batch that has room.
     The second order shares out places: with many short items every batch keeps some room for a long one. The order
-    that needs fewer batches is taken.
+    that needs fewer batches is taken; it isn't tried where the first one reaches the least possible number.
     """
     best = None
     for spread in (False, True):
@@ -95,6 +97,8 @@ def plan(lengths: list[tuple[int, int]], chars: int, places: int) -> tuple[int,
         used = b.made if not (spread and least > 1) else max((s[3] + -(-s[2] // s[4]) for s in slots), default=0)
         if best is None or used < best[0]:
             best = (used, slots)
+        if used <= least:  # no order can need fewer
+            break
     return best
 
 
@@ -116,15 +120,27 @@ def batches(blocks: DataFrame, books: DataFrame, configs: DataFrame) -> DataFram
     pieces = own.select("doc_id", "block_id", "size", "chars", "n", F.explode(cut).alias("piece_no")).withColumn("start_pos", ((F.col("piece_no") - 1) * F.col("chars")).cast("int"))
     pieces = pieces.withColumn("n_chars", F.least(F.col("n") - F.col("start_pos"), F.col("chars")).cast("int")).drop("n")
 
-    def planned(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, slots = plan(list(zip(pdf["n_chars"].tolist(), pdf["count"].tolist())), int(pdf["chars"].iloc[0]), int(pdf["size"].iloc[0]))
-        out = pd.DataFrame(slots, columns=["n_chars", "rank", "many", "batch", "per"])
-        out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return out
-
-    histogram = pieces.groupBy("doc_id", "size", "chars", "n_chars").count()
-    slots = histogram.groupBy("doc_id").applyInPandas(planned, "doc_id long, n_chars int, rank long, many long, batch long, per long").withColumnsRenamed({"doc_id": "d", "n_chars": "l"})
-    ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "n_chars").orderBy("block_id", "piece_no")) - 1)
+    def planned(parts):
+        for pdf in parts:
+            out = []
+            for doc, size, chars, hist in zip(pdf["doc_id"], pdf["size"], pdf["chars"], pdf["hist"]):
+                doc = None if pd.isna(doc) else int(doc)
+                out += [(doc, *slot) for slot in plan([(h["n_chars"], h["n"]) for h in hist], int(chars), int(size))[1]]
+            yield pd.DataFrame(out, columns=["d", "l", "rank", "many", "batch", "per"]).astype({"d": "Int64"})
+
+    # Counts first by SALT shares of a book, so that blocks without a book or equal pieces of one text aren't one task's.
+    pieces = pieces.withColumn("share", F.pmod(F.xxhash64("block_id", "piece_no"), F.lit(SALT)))
+    shares = pieces.groupBy("doc_id", "size", "chars", "n_chars", "share").agg(F.count("*").alias("n"))
+    histogram = shares.groupBy("doc_id", "size", "chars", "n_chars").agg(F.sum("n").alias("n"))
+    # One row per book, over all cores: a row holds at most `chars` lengths, and planning costs far more than its bytes tell.
+    spread = histogram.groupBy("doc_id", "size", "chars").agg(F.collect_list(F.struct("n_chars", "n")).alias("hist"))
+    tasks = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.sparkSession.sparkContext.defaultParallelism)
+    slots = spread.repartition(tasks, F.xxhash64("doc_id")).mapInPandas(planned, "d long, l int, rank long, many long, batch long, per long")
+    before = Window.partitionBy("doc_id", "n_chars").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shares.select(F.col("doc_id").alias("sd"), F.col("n_chars").alias("sl"), F.col("share").alias("ss"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "n_chars", "share").orderBy("block_id", "piece_no")) - 1)
+    at = F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("n_chars") == F.col("sl")) & (F.col("share") == F.col("ss"))
+    ranked = ranked.join(starts, at).withColumn("r", F.col("start") + F.col("k"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n_chars") == F.col("l")) & (F.col("r") >= F.col("rank")) & (F.col("r") < F.col("rank") + F.col("many"))
     return ranked.join(slots, on).select(
         "doc_id", (F.col("batch") + F.floor((F.col("r") - F.col("rank")) / F.col("per")) + 1).cast("int").alias("batch_no"), "block_id", "piece_no", "start_pos", "n_chars"
