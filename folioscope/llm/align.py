@@ -21,8 +21,6 @@ from folioscope.sources.tables import once_by_id
 #: Sentences of one side worked on together; larger books are cut into pieces that overlap by their neighbours and are
 #: widened by candidates from anywhere in the book.
 PIECE = 400
-#: Sentences of one side of a large book that a word may stand in to tell candidates, and candidates for a sentence.
-RARE, FAR = 50, 3
 #: Rounds of estimation after the first one by position.
 ROUNDS = 3
 #: Share of the shorter sentence's weight that must be covered for a link, and for a further partner.
@@ -34,7 +32,11 @@ CLEAR = 0.3
 #: Books in an Arrow batch.
 BATCH = 200
 #: Word pairs held by a task before they are handed on.
-HELD = 500_000
+HELD = 2_000_000
+#: Expected count from which a task hands a word pair on.
+SLIGHT = 0.0
+#: Scripts by which sides in no language of COMMON are told apart.
+SCRIPTS = ("IsLatin", "IsCyrillic", "IsGreek", "IsArabic", "IsHebrew", "IsDevanagari", "IsHangul", "IsHan", "IsThai", "IsHiragana", "IsArmenian", "IsGeorgian", "IsBengali", "IsTamil")
 # Words that tell the languages of a book's sides apart, so that each pair has a table of its own.
 COMMON = {
     "de": "der die das den dem und ein eine dass aber nicht ist im auf",
@@ -53,20 +55,27 @@ def sentences(lines: DataFrame) -> DataFrame:
     c = with_canonical(once, "text", "c").select("doc_id", "side", "line_id", "i", "c", F.posexplode(units_of(F.col("c"))).alias("k", "u"))
     s = F.expr("substring(c, u.start_pos + 1, u.end_pos - u.start_pos)")
     words = F.regexp_extract_all(F.lower(s), F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"), F.lit(0))
-    plain = F.size(F.regexp_extract_all(s, F.lit(r"(?<![\p{L}\p{N}\p{M}-])\p{Ll}[\p{L}\p{M}]+"), F.lit(0)))
+    # Words in small letters or of a script without cases; a sentence in capitals counts by its words of capitals.
+    small = F.size(F.regexp_extract_all(s, F.lit(r"(?<![\p{L}\p{N}\p{M}-])(?:\p{Ll}|(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])\p{Lo})[\p{L}\p{M}]+"), F.lit(0)))
+    capitals = s.rlike(r"\p{Lu}{2,}(?:[^\p{L}\p{N}]+\p{Lu}{2,}){3}") & ~s.rlike(r"\p{Ll}")
     wide = s.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{4}")
-    each = c.where((plain >= 2) | wide).select("doc_id", "side", "line_id", (F.coalesce("i", F.lit(0)) * F.lit(4096) + F.col("k")).alias("at"), words.alias("words"))
+    each = c.where((small >= 2) | wide | capitals).select("doc_id", "side", "line_id", (F.coalesce("i", F.lit(0)) * F.lit(1 << 31) + F.col("k")).alias("at"), words.alias("words"))
     each = checkpointed(each)
-    votes = F.array(*[_votes(ws, lang) for lang, ws in COMMON.items()])
+    votes = F.array(*[_votes(ws, lang) for lang, ws in COMMON.items()], *[_letters(script) for script in SCRIPTS])
     said = each.select("doc_id", "side", F.explode(votes).alias("v")).groupBy("doc_id", "side", "v.lang").agg(F.sum("v.n").alias("n"))
     top = said.groupBy("doc_id", "side").agg(F.max(F.struct("n", "lang")).alias("m"))
     pair = top.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("side", F.lit("="), "m.lang"))), ">").alias("pair"))
-    salted = F.transform("words", lambda w: F.crc32(F.encode(F.concat("pair", F.lit(":"), w), "UTF-8")))
+    salted = F.transform("words", lambda w: F.xxhash64("pair", w))
     return each.join(pair, "doc_id").select("doc_id", "side", "line_id", "at", salted.alias("ws"))
 
 
+def _letters(script: str):
+    """A vote for a script: languages that COMMON doesn't name share a table per script."""
+    return F.struct((F.size(F.filter("words", lambda w: w.rlike(rf"^\p{{{script}}}"))) * 0.01).alias("n"), F.lit(script).alias("lang"))
+
+
 def _votes(ws: str, lang: str):
-    return F.struct(F.size(F.array_intersect("words", F.array(*map(F.lit, ws.split())))).alias("n"), F.lit(lang).alias("lang"))
+    return F.struct((F.size(F.array_intersect("words", F.array(*map(F.lit, ws.split())))) * 1.0).alias("n"), F.lit(lang).alias("lang"))
 
 
 def books(sents: DataFrame) -> DataFrame:
@@ -94,24 +103,34 @@ def _each(bs: DataFrame, side: str) -> DataFrame:
 def widened(large: DataFrame, table: DataFrame | None) -> DataFrame:
     """Pieces of large books with candidates from anywhere in the book added to t.
 
-    Candidates share words, or words and their translations as far as a table is known, that stand in at most RARE
-    different sentences of the other side; the FAR best ones of each sentence are added.
+    A link needs half of the weight of one of the two sentences covered, so a linked pair shares a word, or a word and
+    its translation, among the rarest words of that sentence that make up just over half of its weight. Sentences are
+    met by these words alone, from either side; none is left out, however many there are.
     """
-    o = large.select("doc_id", "piece", F.explode("o").alias("s")).groupBy("doc_id", "piece", "s.k").agg(F.first("s.ws").alias("ws"))
-    o = o.select("doc_id", "piece", "k", F.explode(F.array_distinct("ws")).alias("e"))
+    o = checkpointed(large.select("doc_id", "piece", F.explode("o").alias("s")).groupBy("doc_id", "piece", "s.k").agg(F.first("s.ws").alias("ws")))
     t = checkpointed(_each(large, "t").groupBy("doc_id", F.col("s.k").alias("kt")).agg(F.min("s").alias("s")))
-    words = t.select("doc_id", "kt", F.explode(F.array_distinct("s.ws")).alias("f"))
-    rare = words.groupBy("doc_id", "f").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    meant = o.withColumnRenamed("e", "f")
+    ow, tw = o.select("doc_id", "piece", "k", F.explode(F.array_distinct("ws")).alias("e")), t.select("doc_id", "kt", F.explode(F.array_distinct("s.ws")).alias("f"))
+    meaning = large.select(F.explode(F.flatten(F.transform("o", lambda x: x["ws"]))).alias("e")).distinct().withColumn("f", F.col("e"))
     if table is not None:
-        meant = meant.unionByName(o.join(table.select("e", "f"), "e").drop("e")).distinct()
-    met = meant.join(rare, ["doc_id", "f"]).join(words, ["doc_id", "f"]).groupBy("doc_id", "piece", "k", "kt").agg(F.sum(1 / F.col("n")).alias("w"))
-    best = met.groupBy("doc_id", "piece", "k").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "kt")), asc=False), 1, FAR).alias("b"))
-    far = best.select("doc_id", "piece", F.explode("b.kt").alias("kt")).distinct().join(t, ["doc_id", "kt"]).groupBy("doc_id", "piece").agg(F.collect_list("s").alias("far"))
+        meaning = meaning.unionByName(table.select("e", "f")).distinct()
+    of_o = _rarest(ow, ["doc_id", "piece", "k"], "e").join(meaning, "e").join(tw, ["doc_id", "f"]).select("doc_id", "piece", "kt")
+    of_t = _rarest(tw, ["doc_id", "kt"], "f").join(meaning, "f").join(ow, ["doc_id", "e"]).select("doc_id", "piece", "kt")
+    far = of_o.unionByName(of_t).distinct().join(t, ["doc_id", "kt"]).groupBy("doc_id", "piece").agg(F.collect_list("s").alias("far"))
     both = large.join(far, ["doc_id", "piece"], "left").withColumn("t", F.array_sort(F.array_distinct(F.when(F.col("far").isNull(), F.col("t")).otherwise(F.concat("t", "far")))))
     return checkpointed(both.drop("far").where("size(o) > 0 and size(t) > 0"))
 
 
+def _rarest(words: DataFrame, key: list[str], word: str) -> DataFrame:
+    """The rarest words of each sentence that hold just over half of its weight (rarer words of a book weigh more)."""
+    df = words.groupBy("doc_id", word).agg(F.count("*").alias("df"))
+    n = words.select(*key).distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    weighed = words.join(df, ["doc_id", word]).join(n, "doc_id").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("df", F.log1p(F.col("n") / F.col("df")).alias("w"), word))).alias("ws"))
+    total = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"])
+    start = F.struct(F.lit(0.0).alias("had"), F.array().cast("array<bigint>").alias("kept"))
+    take = lambda s, x: F.when(s["had"] <= F.col("total") * (1 - COVERED) + 1e-9, F.struct((s["had"] + x["w"]).alias("had"), F.array_append(s["kept"], x[word]).alias("kept"))).otherwise(s)
+    return weighed.withColumn("total", total).select(*key, F.explode(F.aggregate("ws", start, take)["kept"]).alias(word))
+
+
 class _Side:
     """Sentences of one side of a book as arrays."""
 
@@ -246,13 +265,16 @@ def _expected(first: bool):
     """Partition function: rows of books -> summed expected counts e, f, c."""
 
     def run(batches):
-        keys, vals, held = [], [], 0
+        left, right, vals, held = [], [], [], 0
 
         def flush():
-            k, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(inv, np.concatenate(vals))
-            cols = [pa.array((k >> np.uint64(32)).astype(np.int64)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(c)]
-            return pa.RecordBatch.from_arrays(cols, ["e", "f", "c"])
+            e, f, c = np.concatenate(left), np.concatenate(right), np.concatenate(vals)
+            order = np.lexsort((f, e))
+            e, f, c = e[order], f[order], c[order]
+            at = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (f[1:] != f[:-1])]))
+            c = np.add.reduceat(c, at)
+            some = c > SLIGHT
+            return pa.RecordBatch.from_arrays([pa.array(e[at][some]), pa.array(f[at][some]), pa.array(c[some].astype(np.float32))], ["e", "f", "c"])
 
         for batch in batches:
             for o, t, table in _arrow_books(batch):
@@ -270,13 +292,14 @@ def _expected(first: bool):
                 c[b.same.any(1), :] = 0  # words that both sides write alike need no table
                 c[:, b.same.any(0)] = 0
                 e, f = np.nonzero(c > 1e-3)
-                keys.append(b.ve[e].astype(np.uint64) << np.uint64(32) | b.vf[f].astype(np.uint64))
+                left.append(b.ve[e])
+                right.append(b.vf[f])
                 vals.append(c[e, f])
                 held += len(e)
                 if held > HELD:
                     yield flush()
-                    keys, vals, held = [], [], 0
-        if keys:
+                    left, right, vals, held = [], [], [], 0
+        if held:
             yield flush()
 
     return run
@@ -312,9 +335,9 @@ def tables(lines: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     else:
         bs = bs.where("pieces = 1")
     every = lambda table: (bs, None) if large is None else (bs.unionByName(wide := widened(large, table)), wide)
-    table = _table(every(None)[0].mapInArrow(_expected(True), "e long, f long, c double"))
+    table = _table(every(None)[0].mapInArrow(_expected(True), "e long, f long, c float"))
     for _ in range(ROUNDS):
-        table = _table(_with_table(every(table)[0], table).mapInArrow(_expected(False), "e long, f long, c double"))
+        table = _table(_with_table(every(table)[0], table).mapInArrow(_expected(False), "e long, f long, c float"))
     return bs, every(table)[1], table
 
 
@@ -364,7 +387,7 @@ def found(lines: DataFrame) -> DataFrame:
 
     Re-delivered lines count once. Null and empty texts, and lines without words of a language (names, codes), have no
     partner. Copies of a sentence within a side share its partners. Within books of more than PIECE sentences a
-    partner is sought in the same and the neighbouring pieces and among the candidates of widened().
+    partner is sought in the same and the neighbouring pieces and among the candidates of widened(), which are all.
     """
     bs, large, table = tables(lines)
 

@@ -66,3 +66,16 @@ def test_large_book_that_lacks_its_beginning_and_has_a_block_moved(spark, monkey
 def test_empty(spark):
     df = spark.createDataFrame([], "line_id long, side string, doc_id long, i int, text string")
     assert found(df).count() == 0
+
+
+def test_sentences_of_any_script_are_kept(spark):
+    texts = ["The old clock stood by the river.", "وقفت الساعة القديمة بجانب النهر.", "पुरानी घड़ी नदी के पास खड़ी थी।", "오래된 시계가 강가에 서 있었다.", "THE OLD CLOCK STOOD BY THE RIVER.", "Старые часы стояли у реки.", "השעון הישן עמד ליד הנהר.", "古い時計は川のそばにあった。", "TASVI-452", "Quenga Wexlotos", "96,86 kg"]
+    df = spark.createDataFrame([(k, "orig", k, 0, t) for k, t in enumerate(texts)], "line_id long, side string, doc_id long, i int, text string")
+    assert {r["line_id"] for r in align.sentences(df).collect()} == set(range(8))
+
+
+def test_lines_of_many_sentences_keep_their_order(spark):
+    many = " ".join(f"The clock number n{k} stood there." for k in range(5000))
+    df = spark.createDataFrame([(1, "orig", 1, 0, many), (2, "orig", 1, 1, "The last one was here.")], "line_id long, side string, doc_id long, i int, text string")
+    got = align.sentences(df).orderBy("at").collect()
+    assert len({r["at"] for r in got}) == len(got) == 5001 and got[-1]["line_id"] == 2
