@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import collapse, rewrapped, should_translate
+from folioscope.functions.text import collapse, let, rewrapped, should_translate
 
 
 def greedy_batches(lengths: Column, most: int, chars: int) -> Column:
@@ -28,7 +28,11 @@ def greedy_batches(lengths: Column, most: int, chars: int) -> Column:
 
 
 def page_batches(bs: DataFrame, most: int = 10, chars: int = 2200) -> DataFrame:
-    """block_id, batch_no: the blocks of each page of the `orig` side in order. A page bounds the array that is folded."""
+    """block_id, batch_no: the blocks of each page of the `orig` side in order. A page bounds the array that is folded.
+
+    A batch takes one block and 400 characters at least, whatever the limits.
+    """
+    most, chars = max(1, most), max(400, chars)
     g = bs.where("side = 'orig'").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_no", "block_id", F.length("text").alias("len")))).alias("xs"))
     nos = greedy_batches(F.transform("xs", lambda x: x["len"]), most, chars)
     return g.select("doc_id", "page", F.explode(F.arrays_zip(F.col("xs").alias("x"), nos.alias("b"))).alias("z")).select("doc_id", "page", "z.x.block_id", F.col("z.b").alias("batch_no"))
@@ -41,12 +45,21 @@ def cache_misses(requests: DataFrame, memory: DataFrame, model: str = "default")
     return want.join(known, "text", "left_anti")
 
 
-def looked_up(requests: DataFrame, memory: DataFrame) -> DataFrame:
-    """requests with `translated`: the remembered translation, or the stripped text where there is none."""
-    m = memory.select(F.col("source_text").alias("key"), "target_text").groupBy("key").agg(F.min("target_text").alias("target_text"))
+def looked_up(requests: DataFrame, memory: DataFrame, model: str = "default") -> DataFrame:
+    """requests with `translated`: what the memory of a model has for them, or the stripped text where it has nothing."""
+    m = memory.where(F.col("model") == model).select(F.trim("source_text").alias("key"), "target_text").groupBy("key").agg(F.min("target_text").alias("target_text"))
     return requests.join(m, F.trim("text") == F.col("key"), "left").withColumn("translated", F.coalesce("target_text", F.trim("text"))).drop("key", "target_text")
 
 
+def answered(requests: DataFrame, replies: DataFrame, key: list[str]) -> DataFrame:
+    """requests (key, ordinal from 1, text) with `translated`: the reply part of the same ordinal, or the text itself.
+
+    replies: key, parts (array of texts, null if a reply couldn't be read). Requests of null keys keep their text.
+    """
+    r = replies.select(*key, F.posexplode("parts").alias("at", "part")).withColumn("ordinal", F.col("at") + 1).groupBy(*key, "ordinal").agg(F.max("part").alias("part"))
+    return requests.join(r, [*key, "ordinal"], "left").withColumn("translated", F.coalesce("part", "text")).drop("part")
+
+
 def adapted_layout(translated: Column, original: Column, lengths: Column, table: Column, mode: str) -> Column:
     """A translation in the layout of its block: `lengths` of its lines, tables line for line, otherwise by mode."""
     t = collapse(F.coalesce(translated, F.lit("")))
@@ -89,3 +102,103 @@ def batch_prompt(texts: Column, target: str) -> Column:
     """One request for an ordered array of texts, numbered from 1."""
     numbered = F.transform(texts, lambda t, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] "), t))
     return F.concat(F.lit(f"Translate each numbered text to {target}. Keep the numbers.\n"), F.array_join(numbered, "\n"))
+
+
+def system_prompt(source: str, target: str) -> str:
+    """Instruction for a single text."""
+    return f"Translate from {source} to {target}. Answer with the translation alone, whole, without comments or quotation marks. Keep names, codes and numbering."
+
+
+def batch_system_prompt(source: str, target: str) -> str:
+    """Instruction for numbered texts."""
+    return f"Translate each numbered text from {source} to {target}. Answer with the same numbers in brackets, as many texts as were given, each whole, without comments."
+
+
+def title_prompt(title: Column, source: str, target: str) -> Column:
+    """Request for the title of a book."""
+    return F.concat(F.lit(f"Translate this book title from {source} to {target}; keep names. Answer with the title alone:\n"), title)
+
+
+def image_mode(mode: Column, scanned: Column, selectable_only: bool = True) -> Column:
+    """How image text is redrawn: 'ai_rebuild' only if asked for and (with selectable_only) the page isn't scanned, else 'legacy'."""
+    m = F.lower(F.trim(F.coalesce(mode, F.lit("legacy"))))
+    known = F.when(m.isin("legacy", "ai_rebuild"), m).otherwise("legacy")
+    return F.when(scanned, "legacy").otherwise(known) if selectable_only else known
+
+
+def layout_mode(mode: Column) -> Column:
+    """A layout mode as written; unknown ones and null are 'structural'."""
+    m = F.lower(F.trim(F.coalesce(mode, F.lit("structural"))))
+    return F.when(m.isin("structural", "char_count", "hybrid"), m).otherwise("structural")
+
+
+def image_lines(text: Column, width: Column, lines: Column, hybrid: bool) -> Column:
+    """Words of an image text in lines of at most `width` (times 1.02) characters.
+
+    With hybrid, surplus lines are joined to the one before, and missing ones come from halving the longest line (of
+    equals the first) by words until `lines` are there or it is one word.
+    """
+    ws = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
+    room = width * F.lit(1.02)
+
+    def put(s: Column, w: Column) -> Column:
+        last = F.element_at(s, -1)
+        fits = F.length(last) + 1 + F.length(w) <= room
+        return F.when(F.size(s) == 0, F.array(w)).when(fits, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.concat(last, F.lit(" "), w)))).otherwise(F.concat(s, F.array(w)))
+
+    wrapped = F.when(F.size(ws) == 0, F.array(text)).otherwise(F.aggregate(F.slice(ws, 2, F.size(ws)), F.slice(ws, 1, 1), put))
+    if not hybrid:
+        return wrapped
+    n = F.greatest(lines, F.lit(1))
+
+    def halved(s: Column, _: Column) -> Column:
+        at = F.array_position(F.transform(s, lambda x: F.length(x)), F.array_max(F.transform(s, lambda x: F.length(x)))).cast("int")
+        parts = F.split(F.element_at(s, at), " ")
+        cut = F.floor(F.size(parts) / 2).cast("int")
+        more = F.concat(F.slice(s, 1, at - 1), F.array(F.array_join(F.slice(parts, 1, cut), " "), F.array_join(F.slice(parts, cut + 1, F.size(parts)), " ")), F.slice(s, at + 1, F.size(s)))
+        return F.when((F.size(s) >= n) | (F.size(parts) < 2), s).otherwise(more)
+
+    def shaped(s: Column) -> Column:
+        joined = F.concat(F.slice(s, 1, n - 1), F.array(F.array_join(F.slice(s, n, F.size(s)), " ")))
+        return F.when(F.size(s) > n, joined).otherwise(F.aggregate(F.sequence(F.lit(1), n), s, halved))
+
+    return let(wrapped, shaped)
+
+
+def first_fit(size: Column, least: Column, step: Column, fits) -> Column:
+    """The largest of size, size - step, ... not under `least` for which fits(size) holds; null if none does."""
+    tries = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((size - least) / step + 1e-9), F.lit(0)).cast("int")), lambda k: size - k * step)
+    return F.get(F.filter(tries, lambda x: (x >= least - 1e-9) & fits(x)), 0)
+
+
+def fitted_text(variants: Column, heights: Column, size: Column, least: Column, step: Column, width: Column, height: Column) -> Column:
+    """struct(text, line_height, size): the first of text variant x line height x falling size that fits a box.
+
+    A letter is taken to be half a size wide; a text fits if its lines do. If nothing fits, the last variant at the
+    smallest size is taken.
+    """
+
+    def need(t: Column, lh: Column, s: Column) -> Column:
+        per = F.greatest(F.floor(width / (s * 0.5)), F.lit(1.0))
+        rows = F.aggregate(F.split(t, "\n"), F.lit(0.0), lambda n, x: n + F.greatest(F.ceil(F.length(x) / per), F.lit(1)).cast("double"))
+        return rows * s * F.coalesce(lh, F.lit(1.2))
+
+    def tried(t: Column) -> Column:
+        return F.transform(heights, lambda lh: F.struct(t.alias("text"), lh.alias("line_height"), first_fit(size, least, step, lambda s: need(t, lh, s) <= height).alias("size")))
+
+    every = F.filter(F.flatten(F.transform(variants, tried)), lambda x: x["size"].isNotNull())
+    rest = F.struct(F.element_at(variants, -1).alias("text"), F.element_at(heights, -1).alias("line_height"), least.alias("size"))
+    return F.coalesce(F.get(every, 0), F.when(F.size(variants) > 0, rest))
+
+
+def best_font(fonts: Column, text: Column, width: Column, height: Column) -> Column:
+    """Name of the font (array of struct(name, wide, high) per letter of size 1) whose proportions fit a box best; of equals the first."""
+    probe = F.least(F.greatest(F.length(text), F.lit(1)), F.lit(24))
+    size = F.greatest(F.lit(10), F.floor(F.least(height, F.lit(64.0)) * 0.7))
+
+    def score(f: Column) -> Column:
+        w, h = F.greatest(F.lit(1.0), f["wide"] * size * probe), F.greatest(F.lit(1.0), f["high"] * size)
+        return F.abs(width / w - height / h) + F.abs(w / h - probe / 2.2)
+
+    scored = F.transform(fonts, lambda f, k: F.struct(score(f).alias("score"), k.alias("k"), f["name"].alias("name")))
+    return F.array_min(scored)["name"]

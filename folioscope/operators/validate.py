@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.fonts import font_class
 from folioscope.functions.geometry import similar_colors
-from folioscope.functions.text import likely_english, suspicious_glyphs, unchanged, words
+from folioscope.functions.text import likely_english, stripped, suspicious_glyphs, unchanged, words
 from folioscope.operators.pairing import best_overlap, line_pairs, over_images, overlap_pairs, page_counts, page_pairs, table_cells, table_matches
 
 METHODS = {
@@ -30,8 +30,8 @@ def _by_side(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     return df.groupBy("doc_id", "page").agg(*[agg(s).alias(f"{s}_{name}") for name, agg in aggs.items() for s in ("orig", "trans")])
 
 
-def page_stats(bs: DataFrame, ls: DataFrame, images: DataFrame) -> DataFrame:
-    """One row per page pair of documents with equally many pages, with the sums that the rules compare."""
+def page_stats(bs: DataFrame, ls: DataFrame, images: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row per page pair of documents with equally many pages (or of `pages`), with the sums that the rules compare."""
     of = lambda c: lambda s: F.sum(F.when(F.col("side") == s, F.col(c)))
     one = lambda s: F.count(F.when(F.col("side") == s, 1))
     eng = lambda s: F.count(F.when((F.col("side") == s) & likely_english(F.col("text")), 1))
@@ -61,7 +61,7 @@ def page_stats(bs: DataFrame, ls: DataFrame, images: DataFrame) -> DataFrame:
     oi = _by_side(over_images(bs, images), {"over_image": one})
     tc = _by_side(table_cells(bs).select("doc_id", "page", "side", "table_no").distinct(), {"tables": one})
     tm = table_matches(bs).groupBy("doc_id", "page").agg(F.count(F.when(F.col("trans_cells") < F.col("orig_cells") * 0.5, 1)).alias("tables_low"))
-    out = page_pairs(bs.select("doc_id", "side", "page"))
+    out = page_pairs(bs.select("doc_id", "side", "page")) if pages is None else pages
     for part in (b, li, lp, mm, ov, oi, tc, tm):
         out = out.join(part, ["doc_id", "page"], "left")
     counts = [c for c, t in out.dtypes if c not in ("doc_id", "page", "orig_size", "trans_size")]
@@ -103,12 +103,16 @@ def judged(flags: DataFrame, method: str) -> DataFrame:
 
 
 def wanted_pages(mode: Column, pages: Column) -> Column:
-    """How many pages a mode ('all', '50%', '25%', a number) asks for; anything else asks for a quarter."""
-    n = mode.try_cast("int")
+    """How many pages a mode ('all', '50%', '25%', a whole number) asks for; anything else asks for a quarter.
+
+    Blanks around and capitals don't matter; a number of none or fewer asks for one page (sampled_pages), null for a quarter.
+    """
+    m = F.lower(stripped(mode))
+    n = F.regexp_replace(m, r"^\+|_", "").try_cast("long")
     quarter = F.greatest(F.lit(1), F.floor(pages / 4).cast("int"))
     return (
-        F.when(mode == "all", pages).when(mode == "50%", F.greatest(F.lit(1), F.floor(pages / 2).cast("int"))).when(mode == "25%", quarter)
-        .when(mode.rlike(r"^\d+$"), F.least(n, pages)).otherwise(quarter)
+        F.when(m == "all", pages).when(m == "50%", F.greatest(F.lit(1), F.floor(pages / 2).cast("int"))).when(m == "25%", quarter)
+        .when(m.rlike(r"^[+-]?\d+(_\d+)*$") & n.isNotNull(), F.least(n, pages.cast("long")).cast("int")).otherwise(quarter)
     )
 
 
@@ -123,21 +127,58 @@ def sampled_pages(pages: Column, k: Column) -> Column:
     )
 
 
-def books(bs: DataFrame, pages: DataFrame, settings: DataFrame) -> DataFrame:
-    """Rollup to documents: pages compared by judged(), settings: doc_id, mode, threshold.
+def picked_pages(bs: DataFrame, settings: DataFrame) -> DataFrame:
+    """doc_id, orig_pages, trans_pages, mode, threshold, page: the sampled pages of documents with equal page counts, null for others."""
+    n = page_counts(bs).join(settings, "doc_id", "left")
+    n = n.select("doc_id", "orig_pages", "trans_pages", F.coalesce("mode", F.lit("25%")).alias("mode"), F.coalesce("threshold", F.lit(90)).alias("threshold"))
+    pages = F.when(F.col("orig_pages") == F.col("trans_pages"), sampled_pages(F.col("orig_pages"), wanted_pages(F.col("mode"), F.col("orig_pages"))))
+    return n.withColumn("page", F.explode_outer(pages))
+
+
+def books(picked: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rollup to documents: picked as from picked_pages(), pages as from judged() of at least the picked ones.
 
     Documents whose sides have different page counts fail with rate 0 and no page counts.
     """
-    n = page_counts(bs).join(settings, "doc_id", "left")
-    mode, threshold = F.coalesce("mode", F.lit("25%")), F.coalesce("threshold", F.lit(90))
-    n = n.select("doc_id", "orig_pages", "trans_pages", mode.alias("mode"), threshold.alias("threshold"))
-    picked = n.where("orig_pages = trans_pages").withColumn("page", F.explode(sampled_pages(F.col("orig_pages"), wanted_pages(F.col("mode"), F.col("orig_pages")))))
-    r = picked.join(pages, ["doc_id", "page"], "left").groupBy("doc_id").agg(F.count("*").alias("pages_checked"), F.count(F.when(~F.col("passed"), 1)).alias("pages_failed"))
-    rate = (F.col("pages_checked") - F.col("pages_failed")) / F.nullif(F.col("pages_checked"), F.lit(0))
-    out = n.join(r, "doc_id", "left").withColumn("equal", F.col("orig_pages") == F.col("trans_pages"))
-    rate = F.when(~F.col("equal"), 0.0).otherwise(F.coalesce(rate, F.lit(1.0)))
-    return out.select(
-        "doc_id", "orig_pages", "trans_pages", "pages_checked", "pages_failed", F.col("equal").alias("same_pages"),
-        (F.col("equal") & (rate * 100 >= F.col("threshold"))).alias("passed"),
-        F.concat(F.when(F.col("equal") & (rate * 100 >= F.col("threshold")), "PASS").otherwise("FAIL"), F.format_string(": rate=%d%% (threshold=%d%%)", F.bround(rate * 100).cast("int"), F.col("threshold").cast("int"))).alias("summary"),
+    one = ["doc_id", "orig_pages", "trans_pages", "threshold"]
+    r = picked.join(pages, ["doc_id", "page"], "left").groupBy(*one).agg(F.count("page").alias("n"), F.count(F.when(~F.col("passed"), 1)).alias("f"))
+    equal = F.col("orig_pages") == F.col("trans_pages")
+    rate = F.when(~equal, 0.0).otherwise(F.coalesce((F.col("n") - F.col("f")) / F.nullif(F.col("n"), F.lit(0)), F.lit(1.0)))
+    ok = equal & (rate >= F.col("threshold") / F.lit(100.0))
+    told = F.format_string("%s: rate=%d%% (threshold=%d%%)", F.when(ok, "PASS").otherwise("FAIL"), F.bround(rate * 100).cast("int"), F.col("threshold").cast("int"))
+    return r.select(
+        "doc_id", "orig_pages", "trans_pages", F.when(equal, F.col("n")).alias("pages_checked"), F.when(equal, F.col("f")).alias("pages_failed"), equal.alias("same_pages"),
+        F.round(rate, 3).alias("pass_rate"), ok.alias("passed"),
+        F.when(equal, told).otherwise(F.format_string("PAGE_COUNT_MISMATCH: %d vs %d", "orig_pages", "trans_pages")).alias("summary"),
     )
+
+
+def issue_texts() -> dict[str, Column]:
+    """Issue text of each rule over the columns of page_stats()."""
+    c = F.col
+    two = lambda n, d: F.format_string("%.2f", c(n) / c(d))
+    of = lambda code, *parts: F.concat(F.lit(code), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    s = lambda n: c(n).cast("string")
+    size = F.format_string("%.2f", F.when(c("orig_size") > 0, c("trans_size") / c("orig_size")).otherwise(1.0))
+    bad = of("LINE_CHAR_RATIO_BAD: ", s("bad_lines"), "/", s("line_pairs"))
+    return {
+        "block_count_low": of("BLOCK_COUNT_LOW: ratio=", two("trans_blocks", "orig_blocks")), "font_too_small": of("FONT_TOO_SMALL: ratio=", size),
+        "overlapping": of("OVERLAPPING: ", s("pairs"), " pairs"), "empty_blocks": F.lit("EMPTY_PAGE"), "empty_lines": F.lit("EMPTY_PAGE"),
+        "char_ratio_bad": of("CHAR_RATIO_BAD: ", two("trans_chars", "orig_chars")), "line_ratio_bad_45": bad, "line_ratio_bad_40": bad,
+        "line_count_mismatch": of("LINE_COUNT_MISMATCH: ratio=", two("trans_lines", "orig_lines")),
+        "untranslated_high": of("HIGH_UNTRANSLATED: ", F.bround(c("trans_english") / c("trans_worded") * 100).cast("int").cast("string"), "%"),
+        "font_mismatch": of("FONT_CATEGORY_MISMATCH: ", s("font_off"), "/", s("matched"), " blocks"), "color_mismatch": of("COLOR_MISMATCH: ", s("color_off"), "/", s("matched"), " blocks"),
+        "over_image_excess": of("TEXT_OVER_IMAGE_EXCESS: orig=", s("orig_over_image"), " trans=", s("trans_over_image")),
+        "table_missing": F.lit("TABLE_MISSING"), "table_content_low": of("TABLE_CONTENT_LOW: ", s("tables_low"), " tables"),
+        "char_count_low": of("CHAR_COUNT_LOW: ratio=", two("trans_block_chars", "orig_block_chars")),
+        "unchanged_high": of("UNCHANGED_BLOCKS_HIGH: ", s("unchanged"), "/", s("quality_matched")), "corrupted": of("CORRUPTED_GLYPHS: ", s("corrupted_blocks"), "/", s("quality_matched")),
+    }
+
+
+def issues(stats: DataFrame, method: str) -> DataFrame:
+    """doc_id, page, issues: the texts of the rules of a method that a page breaks, with their figures, in the method's order; ['OK'] if none."""
+    flags = rules(stats).drop("doc_id", "page").columns
+    both = stats.join(rules(stats).withColumnsRenamed({f: f"is_{f}" for f in flags}), ["doc_id", "page"])
+    texts = issue_texts()
+    found = F.array_compact(F.array(*[F.when(F.col(f"is_{r}"), texts[r]) for r in METHODS[method]]))
+    return both.select("doc_id", "page", F.when(F.size(found) == 0, F.array(F.lit("OK"))).otherwise(found).alias("issues"))

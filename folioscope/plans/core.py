@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import fonts, text
 from folioscope.functions.geometry import similar_colors
 from folioscope.operators import pairing, scan, validate
+from folioscope.session import broadcast_if_small, checkpointed
 from folioscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,20 +124,32 @@ def table_like_blocks(s, d):
     return b.groupBy("doc_id", "side", "page").agg(F.count("*").alias("blocks"), F.count(F.when(F.col("table_like"), 1)).alias("table_blocks"))
 
 
+def spans(ls: DataFrame) -> DataFrame:
+    """Spans of lines: one per word, styled by rule of its place (a stand-in for what a document parser delivers)."""
+    w = ls.select("doc_id", "side", "page", "block_no", "i", "line_id", F.posexplode(F.split("text", " ")).alias("span_no", "text"))
+    k = F.col("line_id") + F.col("span_no")
+    return w.select(
+        "*",
+        F.element_at(F.array(F.lit("Helvetica"), F.lit("Times-Roman"), F.lit("Courier")), (k % 3 + 1).cast("int")).alias("font"),
+        (F.lit(9.0) + k % 4 * 0.5).alias("size"), (k % 2 * 9109504).cast("int").alias("color"), (k % 5).cast("int").alias("flags"),
+        F.length("text").cast("long").alias("n"),
+    )
+
+
 @q(f"WITH {LINES}, {SPANS} SELECT doc_id, side, page, block_no, font, sum(n)::BIGINT AS chars FROM spans GROUP BY ALL")
 def block_histogram(s, d):
-    return scan.histogram(scan.spans(lines_df(s, d)), "font")
+    return scan.histogram(spans(lines_df(s, d)), "font")
 
 
 @q(f"""WITH {LINES}, {SPANS}, g AS (SELECT doc_id, side, page, block_no, font, round_even(size, 1) AS size, color, flags, sum(n)::BIGINT AS chars, min((i, line_id, span_no)) AS first FROM spans GROUP BY ALL)
 SELECT doc_id, side, page, block_no, font, size::DOUBLE AS size, color, flags, chars FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, side, page, block_no ORDER BY chars DESC, first) = 1""")
 def dominant_style(s, d):
-    return scan.dominant_style(scan.spans(lines_df(s, d)))
+    return scan.dominant_style(spans(lines_df(s, d)))
 
 
 @q(f"WITH {LINES}, {SPANS}, b AS (SELECT doc_id, side, page, block_no, avg(size) AS a FROM spans GROUP BY ALL) SELECT doc_id, side, page, count(*) AS blocks, round(avg(a), 6) AS mean_size FROM b GROUP BY ALL")
 def block_sizes(s, d):
-    b = scan.block_sizes(scan.spans(lines_df(s, d)))
+    b = scan.block_sizes(spans(lines_df(s, d)))
     return b.groupBy("doc_id", "side", "page").agg(F.count("*").alias("blocks"), F.round(F.avg("avg_size"), 6).alias("mean_size"))
 
 
@@ -170,12 +183,9 @@ def likely_english(s, d):
     return blocks_df(s, d).groupBy("doc_id", "side").agg(F.count("*").alias("blocks"), e)
 
 
-@q(f"""WITH {BLOCKS}, b AS (SELECT block_id, text || CASE block_id % 7 WHEN 0 THEN ' ????' WHEN 1 THEN ' ' || chr(65533) || '□' WHEN 2 THEN ' ? ? ?' ELSE '' END AS t FROM blocks)
-SELECT block_id, {glyphs('t')} AS glyphs FROM b""")
+@q(f"WITH {BLOCKS} SELECT block_id, {glyphs('text')} AS glyphs FROM blocks")
 def suspicious_glyphs(s, d):
-    k = F.col("block_id") % 7
-    damaged = F.concat("text", F.when(k == 0, " ????").when(k == 1, " �□").when(k == 2, " ? ? ?").otherwise(""))
-    return blocks_df(s, d).select("block_id", text.suspicious_glyphs(damaged).cast("long").alias("glyphs"))
+    return blocks_df(s, d).select("block_id", text.suspicious_glyphs(F.col("text")).cast("long").alias("glyphs"))
 
 
 @q(f"WITH {BLOCKS} SELECT doc_id, side, page, sum(length(translate(text, chr(32) || chr(10) || chr(9), '')))::BIGINT AS chars, sum(length(translate(text, chr(32) || chr(10) || chr(9), ''))) < 30 AS scanned FROM blocks GROUP BY ALL")
@@ -234,28 +244,19 @@ def color_similar(s, d):
     return m.groupBy("doc_id", "page").agg(F.count("*").alias("matched"), alike)
 
 
-CROWDED = BLOCKS.replace("blocks AS", "blocks0 AS") + ", blocks AS (SELECT * REPLACE (y0 - block_no * 22.0 AS y0, y1 - block_no * 22.0 AS y1) FROM blocks0)"
-
-
-def crowded(s, d):
-    """Blocks moved together, so that neighbours overlap."""
-    b = blocks_df(s, d)
-    return b.withColumns({"y0": F.col("y0") - F.col("block_no") * 22.0, "y1": F.col("y1") - F.col("block_no") * 22.0})
-
-
 OVER = f"ov AS (SELECT a.doc_id, a.side, a.page, count(*) AS pairs FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.side = b.side AND a.page = b.page AND (a.block_no, a.block_id) < (b.block_no, b.block_id) AND {overlaps('a', 'b')} GROUP BY ALL)"
 
 
-@q(f"WITH {CROWDED}, {OVER} SELECT * FROM ov")
+@q(f"WITH {BLOCKS}, {OVER} SELECT * FROM ov")
 def overlap_pairs(s, d):
-    return pairing.overlap_pairs(crowded(s, d))
+    return pairing.overlap_pairs(blocks_df(s, d))
 
 
 IMAGES = "images AS (SELECT DISTINCT doc_id, 'trans' AS side, page, x0, y0, x1, y1 FROM ocr_entry WHERE x1 - x0 >= 5 AND y1 - y0 >= 5)"
 
 
 def images_df(s, d):
-    e = table(s, d, "ocr_entry").select("doc_id", F.lit("trans").alias("side"), "page", "x0", "y0", "x1", "y1").distinct()
+    e = scan.image_rects(table(s, d, "ocr_entry").withColumn("side", F.lit("trans")))
     return e.where("x1 - x0 >= 5 and y1 - y0 >= 5")
 
 
@@ -264,19 +265,6 @@ def text_over_image(s, d):
     return pairing.over_images(blocks_df(s, d), images_df(s, d))
 
 
-GRID = BLOCKS.replace("blocks AS", "blocks0 AS") + """, blocks AS (SELECT * REPLACE (36.0 + 180 * (block_no % 3) AS x0, 72.0 + 20 * (block_no // 3) + 40 * (block_no // 9) AS y0,
- 196.0 + 180 * (block_no % 3) AS x1, 84.0 + 20 * (block_no // 3) + 40 * (block_no // 9) AS y1) FROM blocks0 WHERE side = 'orig' OR block_no % 9 <> 8)"""
-
-
-def grid(s, d):
-    """Blocks laid out as a grid of three columns with a gap after every third row; the other side lacks some cells."""
-    row, part = F.floor(F.col("block_no") / 3), F.floor(F.col("block_no") / 9)
-    x = F.lit(36.0) + F.lit(180) * (F.col("block_no") % 3)
-    y = F.lit(72.0) + row * 20 + part * 40
-    b = blocks_df(s, d).where("side = 'orig' or block_no % 9 <> 8")
-    return b.withColumns({"x0": x, "y0": y, "x1": x + 160, "y1": y + 12})
-
-
 CELLS = """ty AS (SELECT *, (round_even(y0 / 5, 0) * 5)::INT AS y FROM blocks), trow AS (SELECT doc_id, side, page, y, count(*) AS m FROM ty GROUP BY ALL HAVING count(*) >= 3),
 tn AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, side, page ORDER BY y) < 30 THEN 0 ELSE 1 END AS new FROM trow),
 tt AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, side, page ORDER BY y) AS table_no, count(*) OVER (PARTITION BY doc_id, side, page) AS many FROM tn),
@@ -284,9 +272,9 @@ tc AS (SELECT *, sum(m) OVER (PARTITION BY doc_id, side, page, table_no) AS cell
 cells AS (SELECT ty.*, tc.table_no FROM ty JOIN tc USING (doc_id, side, page, y) WHERE tc.many >= 2 AND tc.cells >= 6)"""
 
 
-@q(f"WITH {GRID}, {CELLS} SELECT doc_id, side, page, table_no::BIGINT AS table_no, count(*) AS cells FROM cells GROUP BY ALL")
+@q(f"WITH {BLOCKS}, {CELLS} SELECT doc_id, side, page, table_no::BIGINT AS table_no, count(*) AS cells FROM cells GROUP BY ALL")
 def table_regions(s, d):
-    return pairing.table_cells(grid(s, d)).groupBy("doc_id", "side", "page", "table_no").agg(F.count("*").alias("cells"))
+    return pairing.table_cells(blocks_df(s, d)).groupBy("doc_id", "side", "page", "table_no").agg(F.count("*").alias("cells"))
 
 
 MATCH = f"""th AS (SELECT o.doc_id, o.page, o.table_no AS ot, t.table_no AS tt, count(*) AS hits FROM cells o JOIN cells t ON o.doc_id = t.doc_id AND o.page = t.page AND o.side = 'orig' AND t.side = 'trans' AND {overlaps('o', 't')} GROUP BY ALL),
@@ -295,9 +283,9 @@ tm AS (SELECT doc_id, page, ot::BIGINT AS ot, tt::BIGINT AS tt, hits, (SELECT co
  (SELECT count(*) FROM cells c WHERE c.doc_id = tb.doc_id AND c.page = tb.page AND c.side = 'trans' AND c.table_no = tb.tt) AS trans_cells FROM tb)"""
 
 
-@q(f"WITH {GRID}, {CELLS}, {MATCH} SELECT * FROM tm")
+@q(f"WITH {BLOCKS}, {CELLS}, {MATCH} SELECT * FROM tm")
 def table_match(s, d):
-    return pairing.table_matches(grid(s, d))
+    return pairing.table_matches(blocks_df(s, d))
 
 
 def stat_sql() -> str:
@@ -347,31 +335,14 @@ RULE_SQL = {
     "unchanged_high": f"{z('quality_matched')} > 0 AND {z('unchanged')} > {z('quality_matched')} * 0.12",
     "corrupted": f"{z('quality_matched')} > 0 AND ({z('corrupted_blocks')} > {z('quality_matched')} * 0.08 OR {z('extra_marks')} >= 8 OR {z('glyphs')} >= 8)",
 }
-# Blocks as the rules are exercised with: damage by the document's number.
-HURT = BLOCKS.replace("blocks AS", "blocks0 AS") + """, blocks AS (SELECT * REPLACE (
- CASE WHEN side = 'trans' AND doc_id % 7 = 3 THEN text || ' ????' ELSE text END AS text, CASE WHEN side = 'trans' AND doc_id % 7 = 4 THEN avg_size * 0.5 ELSE avg_size END AS avg_size,
- CASE WHEN side = 'trans' AND doc_id % 7 = 5 THEN y0 - block_no * 22.0 ELSE y0 END AS y0, CASE WHEN side = 'trans' AND doc_id % 7 = 5 THEN y1 - block_no * 22.0 ELSE y1 END AS y1)
- FROM blocks0 WHERE side = 'orig' OR doc_id % 7 <> 1 OR block_no % 3 = 0)"""
-
-
-def hurt(s, d):
-    """Blocks with damage on the other side by the document's number, so that rules fire and don't."""
-    t, m = F.col("side") == "trans", F.col("doc_id") % 7
-    b = blocks_df(s, d).where("side = 'orig' or doc_id % 7 <> 1 or block_no % 3 = 0")
-    up = lambda c: F.when(t & (m == 5), F.col(c) - F.col("block_no") * 22.0).otherwise(F.col(c))
-    return b.withColumns({
-        "text": F.when(t & (m == 3), F.concat("text", F.lit(" ????"))).otherwise(F.col("text")),
-        "avg_size": F.when(t & (m == 4), F.col("avg_size") * 0.5).otherwise(F.col("avg_size")), "y0": up("y0"), "y1": up("y1"),
-    })
-
-
 def flags_df(s, d):
-    return validate.rules(validate.page_stats(hurt(s, d), lines_df(s, d), images_df(s, d)))
+    b, ls = checkpointed(blocks_df(s, d)), checkpointed(lines_df(s, d))
+    return validate.rules(validate.page_stats(b, ls, images_df(s, d)))
 
 
 def judged_sql(method: str) -> str:
     parts = ", ".join(f"CASE WHEN {RULE_SQL[r]} THEN '{r}' END" for r in sorted(validate.METHODS[method]))
-    return f"""WITH {HURT}, {LINES}, {stat_sql()}, j AS (SELECT doc_id, page, list_filter([{parts}], lambda x: x IS NOT NULL) AS found FROM stats)
+    return f"""WITH {BLOCKS}, {LINES}, {stat_sql()}, j AS (SELECT doc_id, page, list_filter([{parts}], lambda x: x IS NOT NULL) AS found FROM stats)
 SELECT doc_id, page::INT AS page, CASE WHEN len(found) = 0 THEN 'OK' ELSE array_to_string(found, ',') END AS issues, len(found) = 0 AS passed FROM j"""
 
 
@@ -391,40 +362,120 @@ def validate_hybrid(s, d):
 
 
 MODES = """st0 AS (SELECT b.doc_id, min(c.validation_mode) AS mode, min(c.fidelity_threshold) AS threshold FROM book b JOIN config_set c USING (config_id) GROUP BY ALL)"""
-SAMPLE = """n AS (SELECT pc.doc_id, op, tp, coalesce(mode, '25%') AS mode, coalesce(threshold, 90) AS threshold FROM pc LEFT JOIN st0 USING (doc_id)),
-w AS (SELECT *, CASE WHEN mode = 'all' THEN op WHEN mode = '50%' THEN greatest(1, op // 2) WHEN mode = '25%' THEN greatest(1, op // 4) WHEN regexp_matches(mode, '^\\d+$') THEN least(mode::INT, op) ELSE greatest(1, op // 4) END AS k FROM n WHERE op = tp),
+M = f"lower(regexp_replace(mode, '^{WS}|{WS}$', '', 'g'))"
+SAMPLE = f"""n AS (SELECT pc.doc_id, op, tp, coalesce(mode, '25%') AS mode, coalesce(threshold, 90) AS threshold FROM pc LEFT JOIN st0 USING (doc_id)),
+w AS (SELECT *, CASE WHEN {M} = 'all' THEN op WHEN {M} = '50%' THEN greatest(1, op // 2) WHEN {M} = '25%' THEN greatest(1, op // 4)
+ WHEN regexp_matches({M}, '^[+-]?\\d+(_\\d+)*$') THEN least(replace(replace({M}, '_', ''), '+', '')::BIGINT, op) ELSE greatest(1, op // 4) END AS k FROM n WHERE op = tp),
 picked AS (SELECT *, unnest(CASE WHEN op <= 0 THEN [] WHEN k >= op THEN generate_series(1, op) WHEN k <= 1 THEN [op // 2 + 1] ELSE list_transform(generate_series(0, k - 1), lambda i: (round_even(i * ((op - 1) / (k - 1)), 0))::BIGINT + 1) END)::INT AS page FROM w)"""
 
 
 def settings_df(s, d):
     b, c = table(s, d, "book").select("doc_id", "config_id"), table(s, d, "config_set")
-    return b.join(F.broadcast(c), "config_id").groupBy("doc_id").agg(F.min("validation_mode").alias("mode"), F.min("fidelity_threshold").alias("threshold"))
+    return b.join(broadcast_if_small(c), "config_id").groupBy("doc_id").agg(F.min("validation_mode").alias("mode"), F.min("fidelity_threshold").alias("threshold"))
 
 
 @q(f"WITH {BLOCKS}, {PAGES}, {MODES}, {SAMPLE} SELECT doc_id, mode, page FROM picked")
 def page_sample(s, d):
-    n = pairing.page_counts(blocks_df(s, d)).where("orig_pages = trans_pages").join(settings_df(s, d), "doc_id", "left")
-    n = n.select("doc_id", "orig_pages", F.coalesce("mode", F.lit("25%")).alias("mode"))
-    return n.select("doc_id", "mode", F.explode(validate.sampled_pages(F.col("orig_pages"), validate.wanted_pages(F.col("mode"), F.col("orig_pages")))).alias("page"))
+    return validate.picked_pages(blocks_df(s, d), settings_df(s, d)).where("page is not null").select("doc_id", "mode", "page")
 
 
 def book_sql() -> str:
     j = judged_sql("hybrid").removeprefix("WITH ").rpartition("\nSELECT")
     return f"""WITH {j[0]}, jj AS (SELECT {j[2]}), {MODES}, {SAMPLE},
 bk AS (SELECT p.doc_id, count(*) AS pages_checked, count(*) FILTER (NOT jj.passed) AS pages_failed FROM picked p LEFT JOIN jj USING (doc_id, page) GROUP BY ALL),
-x AS (SELECT n.doc_id, op, tp, pages_checked, pages_failed, threshold, op = tp AS same_pages, CASE WHEN op <> tp THEN 0.0 ELSE coalesce((pages_checked - pages_failed) / nullif(pages_checked, 0), 1.0) END AS rate FROM n LEFT JOIN bk USING (doc_id))
-SELECT doc_id, op AS orig_pages, tp AS trans_pages, pages_checked, pages_failed, same_pages, (same_pages AND rate * 100 >= threshold) AS passed,
- CASE WHEN same_pages AND rate * 100 >= threshold THEN 'PASS' ELSE 'FAIL' END || ': rate=' || round_even(rate * 100, 0)::INT || '% (threshold=' || threshold::INT || '%)' AS summary FROM x"""
+x AS (SELECT n.doc_id, op, tp, pages_checked, pages_failed, threshold, op = tp AS same_pages, CASE WHEN op <> tp THEN 0.0 ELSE coalesce((pages_checked - pages_failed) / nullif(pages_checked, 0), 1.0) END AS rate FROM n LEFT JOIN bk USING (doc_id)),
+y AS (SELECT *, (same_pages AND rate >= threshold / 100.0) AS passed FROM x)
+SELECT doc_id, op AS orig_pages, tp AS trans_pages, pages_checked, pages_failed, same_pages, round(rate, 3) AS pass_rate, passed, CASE WHEN NOT same_pages THEN 'PAGE_COUNT_MISMATCH: ' || op || ' vs ' || tp
+ ELSE CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END || ': rate=' || round_even(rate * 100, 0)::INT || '% (threshold=' || threshold::INT || '%)' END AS summary FROM y"""
 
 
 @q(book_sql())
 def validate_book(s, d):
-    b = hurt(s, d)
-    pages = validate.judged(validate.rules(validate.page_stats(b, lines_df(s, d), images_df(s, d))), "hybrid")
-    return validate.books(b, pages, settings_df(s, d))
+    b, ls = checkpointed(blocks_df(s, d)), lines_df(s, d)
+    picked = checkpointed(validate.picked_pages(b, settings_df(s, d)))
+    pages = picked.where("page is not null").select("doc_id", "page")
+    # Only sampled pages are judged.
+    only = lambda df: checkpointed(df.join(pages, ["doc_id", "page"], "left_semi"))
+    stats = validate.page_stats(only(b), only(ls), images_df(s, d), pages)
+    return validate.books(picked, validate.judged(validate.rules(stats), "hybrid"))
 
 
 @q(f"WITH t AS ({book_sql()}) SELECT count(*) AS books, count(*) FILTER (passed) AS passing, count(*) FILTER (NOT passed) AS failing, coalesce(sum(pages_failed), 0)::BIGINT AS pages_failed FROM t")
 def validation_totals(s, d):
     v = validate_book(s, d)
     return v.agg(F.count("*").alias("books"), F.count(F.when(F.col("passed"), 1)).alias("passing"), F.count(F.when(~F.col("passed"), 1)).alias("failing"), F.coalesce(F.sum("pages_failed"), F.lit(0)).alias("pages_failed"))
+
+
+def issue_sql(method: str) -> str:
+    two = lambda a, b: f"format('{{:.2f}}', {z(a)} / {b})"
+    v = lambda c: f"{z(c)}::BIGINT"
+    bad = f"'LINE_CHAR_RATIO_BAD: ' || {v('bad_lines')} || '/' || {v('line_pairs')}"
+    texts = {
+        "block_count_low": f"'BLOCK_COUNT_LOW: ratio=' || {two('trans_blocks', 'orig_blocks')}",
+        "font_too_small": "'FONT_TOO_SMALL: ratio=' || format('{:.2f}', CASE WHEN orig_size > 0 THEN trans_size / orig_size ELSE 1.0 END)",
+        "overlapping": f"'OVERLAPPING: ' || {v('pairs')} || ' pairs'", "empty_blocks": "'EMPTY_PAGE'", "empty_lines": "'EMPTY_PAGE'",
+        "char_ratio_bad": f"'CHAR_RATIO_BAD: ' || {two('trans_chars', 'orig_chars')}", "line_ratio_bad_45": bad, "line_ratio_bad_40": bad,
+        "line_count_mismatch": f"'LINE_COUNT_MISMATCH: ratio=' || {two('trans_lines', 'orig_lines')}",
+        "untranslated_high": "'HIGH_UNTRANSLATED: ' || round_even(trans_english / trans_worded * 100, 0)::INT || '%'",
+        "font_mismatch": f"'FONT_CATEGORY_MISMATCH: ' || {v('font_off')} || '/' || {v('matched')} || ' blocks'", "color_mismatch": f"'COLOR_MISMATCH: ' || {v('color_off')} || '/' || {v('matched')} || ' blocks'",
+        "over_image_excess": f"'TEXT_OVER_IMAGE_EXCESS: orig=' || {v('orig_over_image')} || ' trans=' || {v('trans_over_image')}", "table_missing": "'TABLE_MISSING'",
+        "table_content_low": f"'TABLE_CONTENT_LOW: ' || {v('tables_low')} || ' tables'", "char_count_low": f"'CHAR_COUNT_LOW: ratio=' || {two('trans_block_chars', 'orig_block_chars')}",
+        "unchanged_high": f"'UNCHANGED_BLOCKS_HIGH: ' || {v('unchanged')} || '/' || {v('quality_matched')}", "corrupted": f"'CORRUPTED_GLYPHS: ' || {v('corrupted_blocks')} || '/' || {v('quality_matched')}",
+    }
+    parts = ", ".join(f"CASE WHEN {RULE_SQL[r]} THEN {texts[r]} END" for r in validate.METHODS[method])
+    return f"""WITH {BLOCKS}, {LINES}, {stat_sql()}, j AS (SELECT doc_id, page, list_filter([{parts}], lambda x: x IS NOT NULL) AS found FROM stats)
+SELECT doc_id, page::INT AS page, CASE WHEN len(found) = 0 THEN 'OK' ELSE array_to_string(found, ' | ') END AS issues FROM j"""
+
+
+@q(issue_sql("hybrid"))
+def validate_issues(s, d):
+    b, ls = checkpointed(blocks_df(s, d)), checkpointed(lines_df(s, d))
+    stats = checkpointed(validate.page_stats(b, ls, images_df(s, d)))
+    return validate.issues(stats, "hybrid").select("doc_id", "page", F.array_join("issues", " | ").alias("issues"))
+
+
+def top_sql(x: str) -> str:
+    return f"SELECT doc_id, side, page, block_no, v FROM (SELECT doc_id, side, page, block_no, {x} AS v, sum(n) AS n, min((i, line_id, span_no)) AS f FROM spans GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, side, page, block_no ORDER BY n DESC, f) = 1"
+
+
+HIST = "SELECT doc_id, side, page, block_no, string_agg(v || '=' || n, ';' ORDER BY v) AS h FROM (SELECT doc_id, side, page, block_no, {}::VARCHAR AS v, sum(n)::BIGINT AS n FROM spans GROUP BY ALL) GROUP BY ALL"
+
+
+@q(f"""WITH {LINES}, {SPANS}, hf AS ({HIST.format('font')}), hc AS ({HIST.format('color')}), hg AS ({HIST.format('flags')}), tf AS ({top_sql('font')}), tc AS ({top_sql('color')}), tg AS ({top_sql('flags')}),
+a AS (SELECT doc_id, side, page, block_no, round(avg(size), 6) AS avg_size FROM spans GROUP BY ALL)
+SELECT doc_id, side, page, block_no, hf.h AS fonts, hc.h AS colors, hg.h AS flags, tf.v AS dominant_font, tc.v AS dominant_color, tg.v AS dominant_flags, avg_size FROM a
+ JOIN hf USING (doc_id, side, page, block_no) JOIN hc USING (doc_id, side, page, block_no) JOIN hg USING (doc_id, side, page, block_no) JOIN tf USING (doc_id, side, page, block_no) JOIN tc USING (doc_id, side, page, block_no) JOIN tg USING (doc_id, side, page, block_no)""")
+def detailed_blocks(s, d):
+    b = scan.detailed_blocks(spans(lines_df(s, d)))
+    told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias(m)
+    return b.select("doc_id", "side", "page", "block_no", told("fonts"), told("colors"), told("flags"), "dominant_font", "dominant_color", "dominant_flags", F.round("avg_size", 6).alias("avg_size"))
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"
+
+
+@q(f"""WITH l AS (SELECT doc_id, side, page, block_no, list(text ORDER BY i, line_id, text) AS ts FROM (SELECT DISTINCT line_id, side, doc_id, page, block_no, i, text FROM line_entry WHERE text IS NOT NULL) GROUP BY ALL)
+SELECT doc_id, side, page, block_no, {strip("array_to_string(ts, ' ')")} AS raw, array_to_string(list_filter(list_transform(ts, lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS trimmed FROM l""")
+def block_texts(s, d):
+    e = table(s, d, "line_entry").select("line_id", "side", "doc_id", "page", "block_no", "i", "text").where("text is not null").distinct()
+    g = e.groupBy("doc_id", "side", "page", "block_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line_id", "text"))), lambda x: F.array(x["text"])).alias("ls"))
+    return g.select("doc_id", "side", "page", "block_no", scan.joined_text(F.col("ls"), False).alias("raw"), scan.joined_text(F.col("ls"), True).alias("trimmed"))
+
+
+@q(f"""WITH {LINES}, {LOB}, {IMAGES}, b AS (SELECT *, {TABLE_LIKE} AS tl FROM lob), r AS (
+ SELECT doc_id, side, page, block_no, NULL::INT AS i, array_to_string(texts, ' ') AS text, len(texts)::INT AS line_count, x0, y0, x1, y1 FROM b WHERE NOT tl
+ UNION ALL SELECT l.doc_id, l.side, l.page, l.block_no, l.i, l.text, 1, l.x0, l.y0, l.x1, l.y1 FROM lines l JOIN b USING (doc_id, side, page, block_no) WHERE tl)
+SELECT r.*, EXISTS (SELECT 1 FROM images m WHERE m.doc_id = r.doc_id AND m.side = r.side AND m.page = r.page AND {inter('r', 'm')} > 0) AS over_image FROM r WHERE x1 - x0 >= 5 AND y1 - y0 >= 3""")
+def translation_scan(s, d):
+    r = scan.request_rows(lines_df(s, d))
+    r = scan.over_any_image(r, images_df(s, d), ["block_no", "i"])
+    return r.select("doc_id", "side", "page", "block_no", "i", "text", "line_count", "x0", "y0", "x1", "y1", "over_image")
+
+
+@q(f"""WITH e AS (SELECT DISTINCT entry_id, {squeeze("coalesce(original, '')")} AS t FROM ocr_entry WHERE x0 IS NOT NULL)
+SELECT entry_id FROM e WHERE t <> '' AND NOT regexp_matches(t, '{SIGNS}') AND {LETTERS} >= 1 AND NOT ({LETTERS} = 1 AND length(t) < 3)""")
+def ocr_results(s, d):
+    e = table(s, d, "ocr_entry").select("entry_id", F.col("original").alias("text"), "x0", "y0", "x1", "y1").where("x0 is not null").distinct()
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return scan.recognised_texts(e.withColumn("points", F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")))).select("entry_id").distinct()

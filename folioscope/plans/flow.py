@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.functions import text
-from folioscope.operators import batching, lineage, queueing, scan
+from folioscope.operators import batching, images, lineage, queueing, scan, translate
 from folioscope.plans.core import BLOCKS, LETTERS, LINES, LOB, QUERIES, SIGNS, SQL, TABLE_LIKE, WS, blocks_df, lines_df, q, squeeze
 from folioscope.sources.tables import table
 
@@ -13,13 +14,13 @@ __all__ = ["QUERIES", "SQL"]
 
 
 @q(f"""WITH {BLOCKS}, g AS (SELECT doc_id, page, list(block_id ORDER BY block_no, block_id) AS ids, list(greatest(length(text), 1) ORDER BY block_no, block_id) AS ls FROM blocks WHERE side = 'orig' GROUP BY ALL),
-f AS (SELECT doc_id, page, ids, list_reduce(ls, lambda s, n: CASE WHEN s.k >= 10 OR (s.k > 0 AND s.used + n > 400)
+f AS (SELECT doc_id, page, ids, list_reduce(ls, lambda s, n: CASE WHEN s.k >= 10 OR (s.k > 0 AND s.used + n > 2200)
  THEN struct_pack(k := 1::BIGINT, used := n::BIGINT, b := s.b + 1, res := list_append(s.res, s.b + 1))
  ELSE struct_pack(k := s.k + 1, used := s.used + n, b := greatest(s.b, 1), res := list_append(s.res, greatest(s.b, 1))) END,
  struct_pack(k := 0::BIGINT, used := 0::BIGINT, b := 0::BIGINT, res := []::BIGINT[])).res AS bs FROM g)
 SELECT doc_id, page, unnest(ids) AS block_id, unnest(bs)::INT AS batch_no FROM f""")
 def batch_packing(s, d):
-    return batching.page_batches(blocks_df(s, d), 10, 400)
+    return batching.page_batches(blocks_df(s, d))
 
 
 def wrap_sql(words: str, budgets: str, count: str, expansion: float, exact: bool) -> str:
@@ -86,13 +87,15 @@ def fit_plan(s, d):
     )
 
 
-REPLIES = """e AS (SELECT DISTINCT entry_id, doc_id, translated FROM ocr_entry WHERE translated IS NOT NULL AND NOT contains(translated, '[')),
-g AS (SELECT doc_id, list(translated ORDER BY entry_id) AS ts FROM e GROUP BY ALL), p AS (SELECT doc_id, len(ts)::INT AS expected, ts, (doc_id % 5)::INT AS m FROM g)"""
+REPLIES = """e AS (SELECT DISTINCT entry_id, doc_id, translated FROM ocr_entry WHERE translated IS NOT NULL),
+g AS (SELECT doc_id, list(translated ORDER BY entry_id, translated) AS ts FROM e GROUP BY ALL), p AS (SELECT doc_id, len(ts)::INT AS expected, (doc_id % 5)::INT AS m, ts FROM g),
+rp AS (SELECT doc_id, expected, CASE WHEN m = 4 THEN '```json' || chr(10) ELSE '' END || array_to_string(list_transform(ts, lambda t, k: CASE WHEN m = 3 OR (m = 1 AND k = expected) THEN '' ELSE '[' || CASE WHEN m = 2 AND k > 1 THEN k - 1 ELSE k END || '] ' END
+ || CASE WHEN m = 4 THEN '"**' || t || '**"' ELSE t END), chr(10)) || CASE WHEN m = 4 THEN chr(10) || '```' ELSE '' END AS reply FROM p)"""
 
 
 def replies(s, d):
     """One reply per document, built from its entries: by rule well formed, a label missing, doubled, none, or fenced."""
-    e = table(s, d, "ocr_entry").select("entry_id", "doc_id", "translated").distinct().where("translated is not null and not contains(translated, '[')")
+    e = table(s, d, "ocr_entry").select("entry_id", "doc_id", "translated").distinct().where("translated is not null")
     g = e.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "translated"))), lambda x: x["translated"]).alias("ts"))
     g = g.withColumn("m", (F.col("doc_id") % 5).cast("int")).withColumn("expected", F.size("ts"))
     label = lambda k: F.when((F.col("m") == 1) & (k + 1 == F.col("expected")), F.lit("")).otherwise(F.concat(F.lit("["), (F.when((F.col("m") == 2) & (k > 0), k).otherwise(k + 1)).cast("string"), F.lit("] ")))
@@ -100,10 +103,34 @@ def replies(s, d):
     return g.select("doc_id", "expected", F.when(F.col("m") == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("reply"))
 
 
-@q()
+def cleaned_sql(t: str) -> str:
+    c = f"replace(replace(regexp_replace({t}, '```[a-z]*\\n?', '', 'g'), '**', ''), '__', '')"
+    return f"regexp_replace(CASE WHEN length({c}) > 2 AND regexp_matches({c}, '^[\"''“]') AND regexp_matches({c}, '[\"''”]$') AND NOT suffix({c}, chr(10)) THEN substr({c}, 2, length({c}) - 2) ELSE {c} END, '^{WS}|{WS}$', '', 'g')"
+
+
+# A reply cut at its labels: what follows the k-th label is the k-th part.
+PARSED = f"""{REPLIES}, lb AS (SELECT *, list_transform(regexp_extract_all(reply, '\\[(\\d+)\\]', 1), lambda x: try_cast(x AS BIGINT)) AS ls, list_transform(regexp_split_to_array(reply, '\\[\\d+\\]')[2:], lambda x: {cleaned_sql("x")}) AS xs,
+ list_filter(list_transform(string_split(reply, chr(10)), lambda x: trim(regexp_replace(trim(x), '^\\[\\d+\\]\\s*', ''))), lambda x: x <> '') AS lines FROM rp),
+pd AS (SELECT doc_id, expected, CASE WHEN len(ls) >= expected AND len(list_filter(generate_series(1, expected), lambda k: NOT list_contains(ls, k))) = 0
+ THEN list_transform(generate_series(1, expected), lambda k: xs[len(ls) + 1 - list_position(list_reverse(ls), k)])
+ WHEN len(lines) = expected THEN list_transform(lines, lambda x: {cleaned_sql("x")}) END AS parts FROM lb)"""
+
+
+@q(f"WITH {PARSED} SELECT doc_id, expected, array_to_string(parts, chr(31)) AS parts FROM pd")
 def parse_batch_reply(s, d):
     r = replies(s, d)
-    return r.select("doc_id", "expected", text.parsed_reply(F.col("reply"), F.col("expected")).alias("parts"))
+    return r.select("doc_id", "expected", F.array_join(text.parsed_reply(F.col("reply"), F.col("expected")), "\x1f").alias("parts"))
+
+
+@q(f"""WITH {PARSED}, rq AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entry_id, original, translated) AS ordinal, entry_id, original AS text FROM (SELECT DISTINCT entry_id, doc_id, original, translated FROM ocr_entry WHERE translated IS NOT NULL))
+SELECT entry_id, ordinal::INT AS ordinal, coalesce(parts[ordinal], text) AS translated FROM rq LEFT JOIN pd USING (doc_id)""")
+def answered_requests(s, d):
+    w = Window.partitionBy("doc_id").orderBy("entry_id", "original", "translated")
+    e = table(s, d, "ocr_entry").select("entry_id", "doc_id", "original", "translated").where("translated is not null").distinct()
+    rq = e.select("doc_id", "entry_id", F.col("original").alias("text"), F.row_number().over(w).alias("ordinal"))
+    r = replies(s, d)
+    p = r.select("doc_id", text.parsed_reply(F.col("reply"), F.col("expected")).alias("parts")).where("parts is not null")
+    return batching.answered(rq, p, ["doc_id"]).select("entry_id", "ordinal", "translated")
 
 
 CLEAN = r"""regexp_replace(replace(replace(regexp_replace(t, '```[a-z]*\n?', '', 'g'), '**', ''), '__', ''), 'x^', '')"""
@@ -138,7 +165,7 @@ def cache_misses(s, d):
 @q(f"""WITH {BLOCKS}, m AS (SELECT trim(original) AS k, min(translated) AS t FROM ocr_entry WHERE original IS NOT NULL GROUP BY ALL)
 SELECT block_id, coalesce(m.t, text) AS translated FROM blocks LEFT JOIN m ON m.k = text""")
 def cache_lookup(s, d):
-    memory = table(s, d, "ocr_entry").where("original is not null").select(F.trim("original").alias("source_text"), F.col("translated").alias("target_text"))
+    memory = table(s, d, "ocr_entry").where("original is not null").select(F.lit("default").alias("model"), F.trim("original").alias("source_text"), F.col("translated").alias("target_text"))
     return batching.looked_up(blocks_df(s, d), memory).select("block_id", "translated")
 
 
@@ -163,21 +190,22 @@ def ocr_entries(s, d):
     return scan.ocr_entries(e.withColumn("points", pts)).drop("original", "translated")
 
 
-# Log lines from the event table: one log per user, names by rule.
-LOGS = """ll AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, ts,
- CASE event_type WHEN 'click' THEN 'begin' WHEN 'view' THEN 'open' WHEN 'signup' THEN 'saved' WHEN 'purchase' THEN 'done' ELSE 'other' END AS kind,
- CASE event_type WHEN 'signup' THEN 't' || event_id % 80 WHEN 'purchase' THEN 't' || event_id % 80 ELSE 'b' || event_id % 50 END || '.pdf' AS name FROM events)"""
+# What the logs of the tables write where the translation log has its own words for it.
+TIME = r"(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"
+OPENS, ENDS = r"Arquivo aberto: (\S+\.pdf)", r"Livro concluído: (\S+\.pdf)"
+HERE = {"begin": OPENS, "open": TIME + ".*" + OPENS, "saved": TIME + ".*" + ENDS, "done": ENDS}
+STAMP = f"try_cast(replace(regexp_extract(text, '{{}}', 1), 'T', ' ') AS TIMESTAMP)"
+_KIND = lambda k, p, two: f"SELECT log_id, line_no, '{k}' AS kind, trim(regexp_extract(text, '{p}', {2 if two else 1})) AS name, {STAMP.format(p) if two else 'NULL::TIMESTAMP'} AS ts FROM tx WHERE regexp_matches(text, '{p}')"
+LOGS = "tx AS (SELECT DISTINCT log_id, line_no, text FROM log_line WHERE text IS NOT NULL), ll AS (" + " UNION ALL ".join(_KIND(k, p, k in ("open", "saved")) for k, p in HERE.items()) + ")"
 
 
 def logs(s, d):
-    from pyspark.sql.window import Window
+    return lineage.log_events(table(s, d, "log_line"), HERE)
+
 
-    e = table(s, d, "events")
-    t = F.col("event_type")
-    kind = F.when(t == "click", "begin").when(t == "view", "open").when(t == "signup", "saved").when(t == "purchase", "done").otherwise("other")
-    name = F.when(t.isin("signup", "purchase"), F.concat(F.lit("t"), (F.col("event_id") % 80).cast("string"))).otherwise(F.concat(F.lit("b"), (F.col("event_id") % 50).cast("string")))
-    no = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select(F.col("user_id").alias("log_id"), no.alias("line_no"), "ts", kind.alias("kind"), F.concat(name, F.lit(".pdf")).alias("name"))
+@q(f"WITH {LOGS} SELECT log_id, line_no, kind, name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM ll")
+def log_events(s, d):
+    return logs(s, d).select("log_id", "line_no", "kind", "name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @q(f"""WITH {LOGS}, g AS (SELECT *, coalesce(sum((kind = 'done')::INT) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM ll),
@@ -204,13 +232,51 @@ def timings(s, d):
     return lineage.timings(logs(s, d)).select("log_id", "source", F.round("seconds", 3).alias("seconds"), text.duration(F.col("seconds")).alias("shown"))
 
 
-@q(f"""WITH {TIMES}, b AS (SELECT DISTINCT name, coalesce(size_bytes, 0) AS size_bytes FROM book WHERE stage = 'traduzidos'), j AS (SELECT b.*, tm.seconds FROM b LEFT JOIN tm ON tm.source = replace(b.name, 'doc_', 'b') AND tm.log_id = 1)
-SELECT round(coalesce(sum(seconds), 0), 3) AS seconds, round(coalesce(sum(size_bytes / 1048576.0) FILTER (seconds <> 0), 0), 6) AS megabytes FROM j""")
-def throughput(s, d):
+PER_BOOK = "pb AS (SELECT source, max(seconds) AS seconds FROM tm GROUP BY ALL)"
+PACE = f"""{TIMES}, {PER_BOOK}, b AS (SELECT DISTINCT name, coalesce(size_bytes, 0) AS size_bytes FROM book WHERE stage = 'traduzidos'), j AS (SELECT b.*, pb.seconds FROM b LEFT JOIN pb ON pb.source = replace(b.name, 'doc_', 'b')),
+pace AS (SELECT coalesce(sum(seconds), 0.0) AS seconds, coalesce(sum(size_bytes / 1048576.0) FILTER (seconds <> 0), 0.0) AS megabytes FROM j)"""
+
+
+def pace(s, d):
+    """Seconds and megabytes of all timed outputs, the longest timing of a source in any log holding."""
     b = queueing.listing(table(s, d, "book"), "traduzidos")
-    t = lineage.timings(logs(s, d)).where("log_id = 1").select("source", "seconds")
+    t = lineage.timings(logs(s, d)).groupBy("source").agg(F.max("seconds").alias("seconds"))
     j = b.select("name", "size_bytes").distinct().join(t, F.replace("name", F.lit("doc_"), F.lit("b")) == F.col("source"), "left")
-    return lineage.throughput(j).select(F.round("seconds", 3).alias("seconds"), F.round("megabytes", 6).alias("megabytes"))
+    return lineage.throughput(j)
+
+
+@q(f"WITH {PACE} SELECT round(seconds, 3) AS seconds, round(megabytes, 6) AS megabytes FROM pace")
+def throughput(s, d):
+    return pace(s, d).select(F.round("seconds", 3).alias("seconds"), F.round("megabytes", 6).alias("megabytes"))
+
+
+@q("SELECT count(DISTINCT name) FILTER (stage = 'traduzidos') AS completed, count(DISTINCT name) FILTER (stage = 'queue') AS waiting, count(DISTINCT name) FILTER (stage = 'traduzindo') AS working, count(DISTINCT name) FILTER (stage = 'traduzidos') + count(DISTINCT name) FILTER (stage = 'queue') + count(DISTINCT name) FILTER (stage = 'traduzindo') AS total FROM book")
+def unit_totals(s, d):
+    return lineage.unit_totals(table(s, d, "book"))
+
+
+@q(f"""WITH {PACE}, w AS (SELECT sum(size_bytes / 1048576.0) AS mb FROM (SELECT DISTINCT name, coalesce(size_bytes, 0) AS size_bytes, mtime FROM book WHERE stage = 'queue' AND suffix(lower(name), '.pdf'))),
+c AS (SELECT coalesce(size_bytes, 0) / 1048576.0 AS size_mb, epoch_us(mtime) // 1000000 AS started FROM book WHERE stage = 'traduzindo' ORDER BY mtime DESC NULLS LAST, name DESC LIMIT 1),
+x AS (SELECT pace.seconds / nullif(pace.megabytes, 0) AS per, mb, size_mb, (SELECT max(epoch_us(mtime)) // 1000000 FROM book) + 3600 AS as_of, started FROM pace, w, c),
+y AS (SELECT *, mb * per + greatest(0.0, size_mb * per - (as_of - started)) AS s FROM x)
+SELECT round(per, 4) AS seconds_per_mb, round(s, 2) AS remaining_seconds, CASE WHEN s IS NULL THEN 'Calculando...' WHEN s >= 3600 THEN (floor(s)::BIGINT // 3600) || 'h' || lpad((floor(s)::BIGINT % 3600 // 60)::VARCHAR, 2, '0') || 'm' ELSE (floor(s)::BIGINT // 60) || 'm' || lpad((floor(s)::BIGINT % 60)::VARCHAR, 2, '0') || 's' END AS eta,
+ coalesce(strftime(make_timestamp((as_of + floor(s)::BIGINT) * 1000000), '%d/%m %H:%M'), '--') AS finish, (as_of - started)::BIGINT AS elapsed_seconds FROM y""")
+def progress_estimate(s, d):
+    b = table(s, d, "book")
+    as_of = F.timestamp_seconds(F.lit(b.agg(F.unix_timestamp(F.max("mtime"))).first()[0] + 3600))
+    mb = queueing.listing(b, "queue").agg(F.sum(F.col("size_bytes") / 1048576.0).alias("megabytes"))
+    c = b.where("stage = 'traduzindo'").orderBy(F.col("mtime").desc_nulls_last(), F.col("name").desc()).limit(1)
+    c = c.select((F.coalesce("size_bytes", F.lit(0)) / 1048576.0).alias("size_mb"), F.col("mtime").alias("started"), F.lit(0).alias("page"), F.lit(0).alias("pages"))
+    e = lineage.estimate(pace(s, d), mb, c, as_of)
+    return e.select(F.round("seconds_per_mb", 4).alias("seconds_per_mb"), F.round("remaining_seconds", 2).alias("remaining_seconds"), "eta", "finish", "elapsed_seconds")
+
+
+@q("""WITH s AS (SELECT * FROM (VALUES ('running'), ('paused'), ('completed'), ('idle'), (NULL)) a(status), (VALUES (true), (false)) b(alive), (VALUES ('run'), ('pause'), (NULL)) c(command))
+SELECT *, CASE WHEN alive AND command = 'pause' THEN 'paused' WHEN NOT alive THEN 'idle' ELSE coalesce(status, 'idle') END AS shown FROM s""")
+def effective_status(s, d):
+    rows = [(a, b, c) for a in ("running", "paused", "completed", "idle", None) for b in (True, False) for c in ("run", "pause", None)]
+    x = s.createDataFrame(rows, "status string, alive boolean, command string")
+    return x.withColumn("shown", lineage.effective_status(F.col("status"), F.col("alive"), F.col("command")))
 
 
 @q(f"""WITH {OPENED}, a AS (SELECT name AS target, max(src) AS source FROM f WHERE kind = 'done' AND src IS NOT NULL GROUP BY ALL),
@@ -222,15 +288,15 @@ def mapping_override(s, d):
     return lineage.overridden(f.select(F.col("name").alias("target"), F.col("last").alias("source")), manual)
 
 
-@q(f"""WITH {LOGS} SELECT log_id, line_no, ts, kind, name FROM ll QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY ts DESC, line_no DESC) = 1""")
+@q(f"""WITH {LOGS} SELECT log_id, line_no, kind, name FROM ll WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY ts DESC, line_no DESC, kind DESC, name DESC) = 1""")
 def latest_line(s, d):
-    return queueing.latest_by(logs(s, d), ["log_id"], ["ts", "line_no"])
+    return queueing.latest_by(logs(s, d).where("ts is not null"), ["log_id"], ["ts", "line_no"]).select("log_id", "line_no", "kind", "name")
 
 
 LISTED = "(SELECT DISTINCT name, coalesce(size_bytes, 0) AS size_bytes, mtime FROM book WHERE stage = '{}' AND suffix(lower(name), '.pdf'))"
 MARKS = " OR ".join(f"contains(n, '{m}')" for m in text.QUEUE_MARKS)
 AGAIN = "SELECT DISTINCT name FROM book WHERE stage = 'queue' AND doc_id % 13 = 0"
-WAITING = f"""qq AS {LISTED.format('queue')}, dd AS {LISTED.format('traduzidos')}, ag AS ({AGAIN}),
+WAITING = f"""qq AS {LISTED.format('queue')}, dd AS {LISTED.format('original')}, ag AS ({AGAIN}),
 wait AS (SELECT qq.*, name IN (SELECT name FROM ag) AS again FROM (SELECT *, lower(regexp_replace(name, '\\.[pP][dD][fF]$', '')) AS n FROM qq) qq
  WHERE name IN (SELECT name FROM ag) OR (name NOT IN (SELECT name FROM dd) AND NOT ({MARKS})))"""
 
@@ -252,12 +318,65 @@ def queue_custom(s, d):
     return queueing.ordered(waiting(s, d), "custom", custom).select("name", "again", "place")
 
 
-@q(f"SELECT name, size_bytes, mtime, row_number() OVER (ORDER BY mtime DESC, name DESC)::INT AS place FROM {LISTED.format('traduzidos')}")
+@q(f"SELECT name, size_bytes, mtime, row_number() OVER (ORDER BY mtime DESC NULLS LAST, lower(name) DESC, name DESC)::INT AS place FROM {LISTED.format('traduzidos')}")
 def file_listing(s, d):
-    from pyspark.sql.window import Window
+    return queueing.named(table(s, d, "book"), "traduzidos", "mtime_desc")
+
+
+@q(f"SELECT name, size_bytes, mtime, row_number() OVER (ORDER BY lower(name), name, mtime, size_bytes)::INT AS place FROM {LISTED.format('original')}")
+def name_listing(s, d):
+    return queueing.named(table(s, d, "book"), "original")
+
+
+@q(f"SELECT name, size_bytes, mtime FROM {LISTED.format('original')} WHERE name = (SELECT min(name) FROM book WHERE stage = 'original')")
+def rerun_book(s, d):
+    b = table(s, d, "book")
+    return queueing.rerun(b, b.where("stage = 'original'").agg(F.min("name")).first()[0] or "")
+
+
+EVENT_SQL = "ev AS (SELECT 'doc_' || regexp_extract(name, '\\d+') || '.pdf' AS name, log_id, line_no, CASE kind WHEN 'open' THEN 'start' ELSE 'finish' END AS event FROM ll WHERE kind IN ('open', 'saved'))"
+
+
+@q(f"""WITH {LOGS}, {EVENT_SQL}, la AS (SELECT name, arg_max(event, (log_id, line_no, CASE event WHEN 'finish' THEN 3 ELSE 1 END)) AS event FROM ev GROUP BY ALL), b AS (SELECT name, min(stage) AS was, max((stage = 'original')::INT) AS kept FROM book WHERE name IS NOT NULL GROUP BY ALL)
+SELECT name, CASE WHEN kept = 1 OR event = 'finish' THEN 'original' WHEN event = 'start' THEN 'traduzindo' WHEN event IS NOT NULL THEN 'queue' ELSE was END AS stage, was FROM b LEFT JOIN la USING (name)""")
+def stage_transitions(s, d):
+    e = logs(s, d).where("kind in ('open', 'saved')")
+    e = e.select(F.concat(F.lit("doc_"), F.regexp_extract("name", r"\d+", 0), F.lit(".pdf")).alias("name"), F.struct("log_id", "line_no").alias("at"), F.when(F.col("kind") == "open", "start").otherwise("finish").alias("event"))
+    return queueing.transitions(table(s, d, "book").where("name is not null"), e)
+
 
-    w = Window.orderBy(F.col("mtime").desc_nulls_last(), F.col("name").desc())
-    return queueing.listing(table(s, d, "book"), "traduzidos").withColumn("place", F.row_number().over(w))
+@q(f"SELECT DISTINCT name FROM {LISTED.format('traduzindo')} WHERE NOT suffix(lower(name), '_pt.pdf') AND name NOT IN (SELECT name FROM {LISTED.format('queue')})")
+def recovered_books(s, d):
+    return queueing.recovered(table(s, d, "book"), False)
+
+
+@q(f"""WITH {BLOCKS}, w AS (SELECT DISTINCT text, {squeeze('text')} AS t FROM blocks WHERE side = 'orig')
+SELECT text, regexp_replace(replace(replace('»' || text, '**', ''), '__', ''), '^{WS}|{WS}$', '', 'g') AS translated FROM w WHERE t <> '' AND NOT regexp_matches(t, '{SIGNS}') AND {LETTERS} >= 1 AND NOT ({LETTERS} = 1 AND length(t) < 3)""")
+def batch_translate(s, d):
+    return translate.misses(blocks_df(s, d).where("side = 'orig'").select("text"), lambda: translate.Asked(translate.EchoAsk()))
+
+
+@q(f"""WITH b AS (SELECT DISTINCT name, regexp_replace(regexp_replace(name, '(?i)\\.pdf$', ''), '\\s*[-–—]\\s*', ' - ', 'g') AS t FROM book WHERE name IS NOT NULL), n AS (SELECT name, t, lower(t) AS n FROM b)
+SELECT name, left(trim(translate(CASE WHEN {" OR ".join(f"contains(n, '{m}')" for m in text.NAME_MARKS)} THEN t ELSE '»' || t END || ' traduzido.pdf', '<>:"/\\|?*', '')), 200) AS output FROM n""")
+def output_names(s, d):
+    return translate.titled(table(s, d, "book").where("name is not null"), lambda: translate.Asked(translate.EchoAsk()))
+
+
+@q("""WITH b AS (SELECT DISTINCT doc_id, side, page, dominant_font AS f FROM text_block), m AS (SELECT config_id, validation_mode AS mode FROM config_set)
+SELECT config_id, mode, 'structural' AS layout, 'legacy' AS image FROM m UNION ALL SELECT 100, ' Hybrid ', 'hybrid', 'legacy' UNION ALL SELECT 101, 'AI_Rebuild', 'structural', 'ai_rebuild'""")
+def mode_resolution(s, d):
+    c = table(s, d, "config_set").select("config_id", F.col("validation_mode").alias("mode")).unionByName(s.createDataFrame([(100, " Hybrid "), (101, "AI_Rebuild")], "config_id int, mode string"))
+    return c.select("config_id", "mode", batching.layout_mode(F.col("mode")).alias("layout"), batching.image_mode(F.col("mode"), F.lit(False)).alias("image"))
+
+
+@q()
+def image_text_fit(s, d):
+    """Image texts in lines of their box, and the first fitting size; the text fit is a stand-in, so there is no SQL."""
+    e = table(s, d, "ocr_entry").select("entry_id", "translated", "source_line_count", "x0", "y0", "x1", "y1").where("translated is not null").distinct()
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ls = batching.image_lines(F.col("translated"), w / 5.0, F.coalesce("source_line_count", F.lit(1)).cast("int"), True)
+    fit = batching.fitted_text(F.array(F.col("translated"), F.array_join("ls", "\n")), F.array(F.lit(1.2), F.lit(1.0)), F.lit(12.0), F.lit(5.0), F.lit(0.4), w, h)
+    return e.withColumn("ls", ls).select("entry_id", F.size("ls").alias("line_count"), fit["size"].alias("size"), fit["line_height"].alias("line_height"), images.drawn_size(F.col("ls"), w, h, F.lit(24)).alias("drawn"))
 
 
 @q(f"SELECT name, mtime FROM {LISTED.format('traduzindo')} ORDER BY mtime DESC NULLS LAST, name DESC LIMIT 1")

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; beyond it the same join is a shuffled one.
-BROADCAST_ROWS = 200_000
+#: Bytes (as JSON) up to which a side may be broadcast; beyond it the same join is a shuffled one.
+BROADCAST_BYTES = 32_000_000
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -23,6 +23,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "6g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -30,15 +31,20 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent (single-machine tests) a folder of our own is made.
+    Where the setting is absent, a local master (tests, benchmarks) gets a folder of our own; a cluster is told to name
+    one, as a folder of one machine would be lost with it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if df is measured to have at most `rows` rows; otherwise leave the join to be shuffled."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df computed once (checkpointed), with a broadcast hint only if its rows measure at most `most` bytes."""
+    once = checkpointed(df)
+    size = once.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in once.columns])))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(once) if size <= most else once

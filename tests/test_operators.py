@@ -96,7 +96,7 @@ def test_sampling(spark):
     got = {(r["m"], r["n"]): r["p"] for r in df.select("m", "n", validate.sampled_pages(F.col("n"), k).alias("p")).collect()}
     assert got["all", 4] == [1, 2, 3, 4] and got["1000000", 2] == [1, 2]
     assert got["50%", 10] == [1, 3, 6, 8, 10] or got["50%", 10][0] == 1 and got["50%", 10][-1] == 10
-    assert got["25%", 4] == [3] and got["0", 10] == [6] and got["33%", 10] == got["25%", 10] == [1, 10] and got["-1", 10] == [1, 10]
+    assert got["25%", 4] == [3] and got["0", 10] == [6] and got["33%", 10] == got["25%", 10] == [1, 10] and got["-1", 10] == [6]
     assert got["3", 10] == [1, 5, 10] and got["all", 0] == []
     for (_, n), p in got.items():
         assert p == sorted(set(p)) and all(1 <= x <= n for x in p)
@@ -157,3 +157,55 @@ def test_settings_merge():
     s = Settings().merged('{"max_batch_size": 3, "unknown": 1}')
     assert s.max_batch_size == 3 and s.max_batch_chars == 2200
     assert Settings().merged("{broken") == Settings() == Settings().merged(None) == Settings().merged("[1]")
+
+
+def test_modes_are_read_whatever_their_case_and_blanks(spark):
+    df = spark.createDataFrame([("ALL",), (" 50% ",), ("+3",), ("-7",), ("x",), (None,)], "m string").withColumn("n", F.lit(20))
+    got = {r["m"]: len(r["p"]) for r in df.select("m", validate.sampled_pages(F.col("n"), validate.wanted_pages(F.col("m"), F.col("n"))).alias("p")).collect()}
+    assert got == {"ALL": 20, " 50% ": 10, "+3": 3, "-7": 1, "x": 5, None: 5}
+
+
+def test_books_pass_at_the_threshold_as_a_share(spark):
+    picked = spark.createDataFrame([(d, 50, 50, t, p) for d, t in ((1, 58), (2, 59)) for p in range(1, 51)] + [(3, 2, 3, 90, None)], "doc_id long, orig_pages int, trans_pages int, threshold int, page int")
+    pages = spark.createDataFrame([(d, p, p <= 29) for d in (1, 2) for p in range(1, 51)], "doc_id long, page int, passed boolean")
+    got = {r["doc_id"]: (r["passed"], r["summary"], r["pages_checked"]) for r in validate.books(picked, pages).collect()}
+    assert got == {1: (True, "PASS: rate=58% (threshold=58%)", 50), 2: (False, "FAIL: rate=58% (threshold=59%)", 50), 3: (False, "PAGE_COUNT_MISMATCH: 2 vs 3", None)}
+
+
+def test_log_text_to_events_mapping_and_times(spark):
+    t = ["2024-05-01 10:00:00,123 [INFO] [1/2] Processando: a b.pdf (1.0 MB)", "2024-05-01 10:00:01,000 [INFO] Abrindo PDF: a b.pdf", "noise", "2024-05-01 10:01:01,500 [INFO] PDF traduzido salvo: a_PT.pdf", "2024-05-01 10:01:02,000 [INFO]   -> Traduzido: A B.pdf"]
+    ls = spark.createDataFrame([(1, k, x, "x") for k, x in enumerate(t)] + [(1, 0, t[0], "x"), (1, 9, None, "x")], "log_id long, line_no long, text string, kind string")
+    ev = lineage.log_events(ls)
+    assert sorted((r["line_no"], r["kind"], r["name"]) for r in ev.collect()) == [(0, "begin", "a b.pdf"), (1, "open", "a b.pdf"), (3, "saved", "a_PT.pdf"), (4, "done", "A B.pdf")]
+    assert [tuple(r) for r in lineage.strict_mapping(ev).collect()] == [tuple(r) for r in lineage.mapping(ev).collect()] == [(1, "A B.pdf", "a b.pdf")]
+    assert [tuple(r) for r in lineage.timings(ev).collect()] == [(1, "a b.pdf", 60.0)]
+    assert lineage.log_events(ls.limit(0)).count() == 0
+
+
+def test_estimate_falls_back_to_pages(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cur = one([(10.0, 1000, 20, 100)], "size_mb double, s long, page int, pages int").select("size_mb", F.timestamp_seconds("s").alias("started"), "page", "pages")
+    left, none = one([(5.0,)], "megabytes double"), one([(0.0, 0.0)], "seconds double, megabytes double")
+    at = F.timestamp_seconds(F.lit(1100))
+    r = lineage.estimate(none, left, cur, at).first()
+    assert (r["seconds_per_mb"], r["remaining_seconds"], r["elapsed_seconds"]) == (50.0, 650.0, 100) and r["eta"] == "10m50s"
+    r = lineage.estimate(none, left, cur.limit(0), at).first()
+    assert (r["eta"], r["finish"], r["remaining_seconds"]) == ("Calculando...", "--", None)
+    r = lineage.estimate(one([(30.0, 3.0)], "seconds double, megabytes double"), left, cur, at).first()
+    assert r["remaining_seconds"] == 50.0
+
+
+def test_image_lines_and_first_fit(spark):
+    d = spark.createDataFrame([("aa bb cc dd ee", 5.0, 2), ("one", 9.0, 3), ("aa bb cc dd", 50.0, 2), ("", 5.0, 2)], "t string, w double, n int")
+    got = [r["x"] for r in d.select(batching.image_lines(F.col("t"), F.col("w"), F.col("n"), True).alias("x")).collect()]
+    assert got == [["aa bb", "cc dd ee"], ["one"], ["aa bb", "cc dd"], [""]]
+    f = d.limit(1).select(batching.fitted_text(F.array(F.lit("x" * 40)), F.array(F.lit(1.2)), F.lit(12.0), F.lit(4.0), F.lit(0.4), F.lit(60.0), F.lit(40.0)).alias("f")).first()["f"]
+    assert 4.0 <= f["size"] < 12.0
+
+
+def test_transitions_and_recovery(spark):
+    b = spark.createDataFrame([("a.pdf", "queue", 1, None), ("b.pdf", "queue", 1, None), ("c.pdf", "traduzindo", 1, None), ("c_PT.pdf", "traduzindo", 1, None), ("d.pdf", "original", 1, None)], "name string, stage string, size_bytes long, mtime timestamp")
+    e = spark.createDataFrame([("a.pdf", 1, "start"), ("a.pdf", 2, "finish"), ("b.pdf", 1, "start"), ("b.pdf", 1, "fail"), ("c.pdf", 1, "start"), ("d.pdf", 1, "stop")], "name string, at long, event string")
+    assert {r["name"]: r["stage"] for r in queueing.transitions(b, e).collect()} == {"a.pdf": "original", "b.pdf": "queue", "c.pdf": "traduzindo", "c_PT.pdf": "traduzindo", "d.pdf": "original"}
+    assert [r["name"] for r in queueing.recovered(b, False).collect()] == ["c.pdf"] and queueing.recovered(b, True).count() == 0
+    assert [r["name"] for r in queueing.rerun(b, "d.pdf").collect()] == ["d.pdf"]

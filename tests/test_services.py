@@ -40,12 +40,13 @@ def test_plain_reader(spark, tmp_path):
 
 
 def test_continuous_validation(spark, tmp_path):
-    out, state = str(tmp_path / "out"), {"map": [("a", "A")]}
+    out, state = str(tmp_path / "out"), {"map": [("a", "A")], "command": "run"}
     rows = lambda xs: spark.createDataFrame(xs, "name string, doc_id long").write.mode("append").parquet(out)
     v = Validator(
         spark, out, str(tmp_path / "reports"), str(tmp_path / "pending"),
         lambda: spark.createDataFrame(state["map"], "name string, source string"),
-        lambda df: df.withColumn("passed", F.when(F.col("doc_id") < 100, F.col("doc_id") % 2 == 1)), least_count=3,
+        lambda df, settings: df.withColumn("passed", F.when(F.col("doc_id") < 100, F.col("doc_id") % 2 == 1)).withColumn("rate", F.when(F.col("name") == "d", 0.4994).otherwise(0.5)),
+        control=lambda: state["command"],
     )
     check = str(tmp_path / "check")
     rows([("a", 1), ("b", 2)])
@@ -57,12 +58,73 @@ def test_continuous_validation(spark, tmp_path):
     v.run(check)
     assert read() == [("a", "checked", True), ("b", "checked", False), ("c", "skipped", None)]
     state["map"] += [("d", "D")]
+    state["command"] = "pause"
     rows([("d", 4)])
-    with pytest.raises(Exception, match="1 of 3 outputs pass"):
+    v.run(check)
+    assert len(read()) == 3  # d waits
+    state["command"] = "run"
+    rows([("e", 5)])
+    with pytest.raises(Exception, match="d: 0.499 of its pages pass"):
         v.run(check)
     assert issubclass(QualityTooLow, RuntimeError)
 
 
+def test_replies_are_taken_apart_and_unchanged_ones_asked_again():
+    asked = []
+
+    def ask(system, user):
+        asked.append(user)
+        if "numbered" in user:
+            return "[1] um [2] the same long text here [2] the same long text here"
+        return "novo texto" if "unchanged" in user else "the same long text here"
+
+    t = translate.Asked(ask, sleep=lambda _: None)
+    assert t(["one", "the same long text here"]) == ["um", "novo texto"] and len(asked) == 3
+    assert translate.parts_of("a\nb", 2) == ["a", "b"] and translate.parts_of("a", 2) is None
+
+    def dead(system, user):
+        raise OSError
+
+    waits = []
+    d = translate.Asked(dead, sleep=waits.append)
+    assert translate.translated(["a b", "c d"], d, waits.append) == ["a b", "c d"] and waits[:2] == [1.0, 2.0]
+    assert d.title("Old - Book") == "Old - Book" and translate.output_name("a–b: c", lambda x: "Título") == "Título traduzido.pdf"
+
+
+def test_control_and_state_files(tmp_path):
+    from folioscope import config
+
+    p = str(tmp_path / "control.json")
+    assert config.read_json(p, config.CONTROL) == config.CONTROL
+    config.write_json(p, {"command": "pause"})
+    assert config.read_json(p, config.CONTROL) == {"command": "pause", "model": "default"}
+    (tmp_path / "control.json").write_text("{broken")
+    assert config.read_json(p, config.CONTROL) == config.CONTROL
+
+
+def test_images(spark, tmp_path):
+    import numpy as np
+
+    from folioscope.operators import images
+
+    w, h, px = images.raster(np.array([[10, 10, 30, 20]]), 60, 40)
+    (tmp_path / "a.ppm").write_bytes(b"P6 %d %d 255\n" % (w, h) + px)
+    (tmp_path / "b.ppm").write_bytes(b"no image")
+    df = images.images(spark, str(tmp_path))
+    assert [(r["width"], r["height"]) for r in df.collect()] == [(60, 40)]
+    boxes = df.selectExpr("*", "10D x0", "10D y0", "30D x1", "20D y1").unionByName(df.selectExpr("*", "null x0", "10D y0", "30D x1", "20D y1"))
+    assert {(r["background"], r["ink"]) for r in images.colors(boxes).collect()} == {(0xFFFFFF, 0), (None, None)}
+    assert set(images.erased(w, h, px, [(10, 10, 30, 20)])) == {255}
+
+    def make(card):
+        if card:
+            raise RuntimeError
+        return lambda content: [([(0, 0), (5, 5)], "text")] if content.startswith(b"P6") else 1 / 0
+
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [r["text"] for r in images.recognised(files, make).collect()] == ["text"]
+
+
 def test_state_stream(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.createDataFrame([(1, 0, "run"), (1, 60, "pause"), (2, 0, "stop"), (1, 9000, "run")], "user_id long, s long, event_type string").select(
