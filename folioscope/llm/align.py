@@ -34,7 +34,7 @@ BATCH = 200
 #: Word pairs held by a task before they are handed on.
 HELD = 2_000_000
 #: Expected count from which a task hands a word pair on.
-SLIGHT = 0.0
+SLIGHT = 0.02
 #: Scripts by which sides in no language of COMMON are told apart.
 SCRIPTS = ("IsLatin", "IsCyrillic", "IsGreek", "IsArabic", "IsHebrew", "IsDevanagari", "IsHangul", "IsHan", "IsThai", "IsHiragana", "IsArmenian", "IsGeorgian", "IsBengali", "IsTamil")
 # Words that tell the languages of a book's sides apart, so that each pair has a table of its own.
