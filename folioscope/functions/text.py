@@ -104,7 +104,7 @@ def parsed_reply(x: Column, expected: Column) -> Column:
     wanted = F.sequence(F.lit(1), expected)
     last = F.transform(wanted, lambda k: F.element_at(F.filter(parts, lambda p: p["label"] == k), -1)["text"])
     labelled = F.when((F.size(parts) >= expected) & (F.size(F.array_except(wanted, labels)) == 0), last)
-    lines = F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(F.trim(s), r"^\[\d+\]\s*", ""))), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(x, "\n"), lambda s: stripped(F.regexp_replace(stripped(s), r"(?U)^\[\d+\]\s*", ""))), lambda s: s != "")
     return F.coalesce(labelled, F.when(F.size(lines) == expected, F.transform(lines, clean_reply)))
 
 
