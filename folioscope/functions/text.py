@@ -124,8 +124,8 @@ def marked(name: Column, marks: tuple[str, ...]) -> Column:
 
 def duration(seconds: Column) -> Column:
     """`1h02m`, `3m04s`; `--` for null; negative counts as 0."""
-    s = F.greatest(F.floor(seconds).cast("int"), F.lit(0))
-    h, m = F.floor(s / 3600).cast("int"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("int")
+    s = F.greatest(F.floor(seconds).cast("bigint"), F.lit(0))
+    h, m = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)
     return F.when(seconds.isNull(), "--").when(h > 0, F.format_string("%dh%02dm", h, m)).otherwise(F.format_string("%dm%02ds", m, F.pmod(s, F.lit(60))))
 
 

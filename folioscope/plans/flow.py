@@ -263,7 +263,7 @@ SELECT round(per, 4) AS seconds_per_mb, round(s, 2) AS remaining_seconds, CASE W
  coalesce(strftime(make_timestamp((as_of + floor(s)::BIGINT) * 1000000), '%d/%m %H:%M'), '--') AS finish, (as_of - started)::BIGINT AS elapsed_seconds FROM y""")
 def progress_estimate(s, d):
     b = table(s, d, "book")
-    as_of = F.timestamp_seconds(F.lit(b.agg(F.unix_timestamp(F.max("mtime"))).first()[0] + 3600))
+    as_of = F.timestamp_seconds(F.lit(b.agg(F.unix_timestamp(F.max("mtime")) + 3600).first()[0]).cast("bigint"))
     mb = queueing.listing(b, "queue").agg(F.sum(F.col("size_bytes") / 1048576.0).alias("megabytes"))
     c = b.where("stage = 'traduzindo'").orderBy(F.col("mtime").desc_nulls_last(), F.col("name").desc()).limit(1)
     c = c.select((F.coalesce("size_bytes", F.lit(0)) / 1048576.0).alias("size_mb"), F.col("mtime").alias("started"), F.lit(0).alias("page"), F.lit(0).alias("pages"))

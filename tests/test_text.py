@@ -58,6 +58,10 @@ def test_names(spark):
     assert many(spark, lambda x: text.marked(x, text.QUEUE_MARKS), ["Livro_PT-BR", "book", None]) == [True, False, False]
 
 
+def test_durations_beyond_32_bits(spark):
+    assert many(spark, text.duration, [15436493575.69, 2147483648.0], "double") == ["4287914h52m", "596523h14m"]
+
+
 def test_duration(spark):
     assert many(spark, text.duration, [0.0, 59.9, 184.0, 3725.0, -5.0, None], "double") == ["0m00s", "0m59s", "3m04s", "1h02m", "0m00s", "--"]
 
