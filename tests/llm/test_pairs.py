@@ -104,3 +104,21 @@ def test_clusters_against_all_pairs(spark):
     near = [(a, b) for a in xs for b in xs if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
     led = {r["words"]: r["leader"] for r in clusters(spark.createDataFrame([(x,) for x in sorted(xs)], "words string")).collect()}
     assert near and sum(led[a] == led[b] for a, b in near) >= 0.95 * len(near)
+
+
+def test_sentences_that_chance_repeats_are_no_templates(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "RARE", 1 / 60, raising=False)
+    no = "i am sorry but i cannot help with that"
+    # Few sentences, each of which stands under a handful of unrelated prompts, and one that stands under many.
+    rows = [(f"prompt {k} about thing {k} of {k} kinds", f"sentence {k % 60} of a small stock is number {k % 60}") for k in range(300)]
+    rows += [(f"other {k} about matter {k} of {k} sorts", no) for k in range(30)]
+    got = pairs.templates(spark.createDataFrame(rows, "q string, a string")).collect()
+    assert [r["words"] for r in got] == [no]
+
+
+def test_first_words_of_like_prompts_are_no_template(spark):
+    rows = [(f"that winter the man{k} hid the key{k}", "naquele inverno") for k in range(12)] + [(f"cet hiver le {k} lit un {k}", "naquele inverno") for k in range(8)]
+    rows += [(f"prompt{k} about thing {k} of {k} kinds", f"texto {k} sobre coisa {k} de {k} tipos") for k in range(200)]
+    rows += [(f"other{k} about matter {k} of {k} sorts", "não posso") for k in range(5)]
+    got = pairs.templates(spark.createDataFrame(rows, "q string, a string")).collect()
+    assert [r["words"] for r in got] == ["não posso"]
